@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if the planner proves it to be no larger than this.
-BROADCAST_LIMIT = 32 << 20
+BROADCAST_LIMIT = 16 << 20
 
 _local_dir: str | None = None
 
@@ -56,7 +56,7 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """Upper estimate of a plan's size from Catalyst's statistics; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
