@@ -1,11 +1,424 @@
-"""Registry of the core queries and of their SQL."""
+"""The core queries, one per operator, over whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quirefold.functions import text as T
+from quirefold.operators import align, audit, folds, heads, layout, lexicon, render
+from quirefold.plans.core_sql import SQL
+from quirefold.sources.tables import table
 
-def oracle_sql() -> dict:
-    return {}
+KEY = ["doc_id", "page", "idx"]
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def elements(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Elements delivered once; only the named columns are read."""
+    return table(spark, d, "elements").select(*KEY, *cols).dropDuplicates(KEY)
+
+
+def geometry(spark: SparkSession, d: str) -> DataFrame:
+    return elements(spark, d, "kind", "bbox", "text", "size", "sentences")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages_geo")
+
+
+def translations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "translations")
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return elements(spark, d, "kind", "text").filter("kind = 'text' and text is not null").drop("kind")
+
+
+# --- sentences and tokens ---
+
+
+def _sentences(spark: SparkSession, d: str, split: Callable) -> DataFrame:
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    return docs.select("doc_id", F.posexplode(split("text")).alias("sent", "sentence"))
+
+
+@query
+def sentences_split(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d, T.split_sentences)
+
+
+@query
+def sentences_resplit(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d, T.resplit_sentences)
+
+
+@query
+def sentences_naive(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d, T.naive_sentences)
+
+
+@query
+def chinese_split(spark: SparkSession, d: str) -> DataFrame:
+    t = align.newest(translations(spark, d)).select(*KEY, F.posexplode("segs").alias("seg", "s")).filter("s is not null")
+    return t.select(*KEY, "seg", F.posexplode(T.split_chinese("s")).alias("piece", "sentence"))
+
+
+@query
+def tokens_lookup(spark: SparkSession, d: str) -> DataFrame:
+    w = T.lookup_tokens("text")
+    return _texts(spark, d).select(*KEY, F.size(w).alias("words"), F.size(F.filter(w, T.is_lookup_word)).alias("lookups"))
+
+
+@query
+def vocabulary_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.vocabulary(elements(spark, d, "kind", "text", "sentences"))
+
+
+@query
+def surface_acronyms(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.acronyms(elements(spark, d, "kind", "text", "sentences"))
+
+
+# --- dictionary ---
+
+
+def _dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dictionary")
+
+
+@query
+def lemma_candidates(spark: SparkSession, d: str) -> DataFrame:
+    w = _dictionary(spark, d).select(F.lower(T.trimmed("word")).alias("word")).filter("word <> ''").distinct()
+    return w.select("word", F.posexplode(T.lemma_candidates("word")).alias("candidate", "form"))
+
+
+@query
+def dictionary_resolve(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.resolve(lexicon.vocabulary(elements(spark, d, "kind", "text", "sentences")), _dictionary(spark, d))
+
+
+@query
+def dictionary_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.unresolved(lexicon.vocabulary(elements(spark, d, "kind", "text", "sentences")), _dictionary(spark, d))
+
+
+@query
+def dictionary_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: sentences to words, base forms, dictionary, coverage by source."""
+    vocab = lexicon.vocabulary(elements(spark, d, "kind", "text", "sentences"))
+    source = table(spark, d, "docs").select("doc_id", F.coalesce("source", F.lit("-")).alias("source")).dropDuplicates(["doc_id"])
+    return lexicon.coverage(vocab.join(source, "doc_id"), _dictionary(spark, d), "source")
+
+
+@query
+def dictionary_entries(spark: SparkSession, d: str) -> DataFrame:
+    return lexicon.entries(_dictionary(spark, d)).select("word", "tier", "m")
+
+
+@query
+def gloss_clean(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat_ws(" ", "t", "m")
+    tag, rest = T.clean_gloss(line)
+    return _dictionary(spark, d).filter("m is not null").select(T.trimmed(line).alias("line"), tag.alias("tag"), rest.alias("gloss")).distinct()
+
+
+@query
+def pos_format(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.regexp_replace("t", r"\.", ":46/"), F.lit("v:54/n:9"))
+    return _dictionary(spark, d).filter("t is not null").select("t", T.format_pos(raw).alias("pos")).distinct()
+
+
+@query
+def first_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _dictionary(spark, d).filter("m is not null").select("m", T.first_lines(F.concat("m", F.lit("; a \\n b；"), F.col("m"))).alias("lines")).distinct()
+
+
+# --- repairs ---
+
+
+@query
+def ligature_expand(spark: SparkSession, d: str) -> DataFrame:
+    x = T.expand_ligatures("text")
+    return _texts(spark, d).filter(x != F.col("text")).select(*KEY, x.alias("expanded"))
+
+
+@query
+def word_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed repairs in order, on texts with the damage they mend written in."""
+    hurt = F.concat(F.replace("text", F.lit("finance"), F.lit("jinance")), F.lit(" HE BANK, macmacroeconomics"))
+    return _texts(spark, d).filter("text like '%finance%'").select(*KEY, T.fix_double_stem(T.fix_words(T.fix_drop_caps(hurt))).alias("repaired"))
+
+
+@query
+def header_strip(spark: SparkSession, d: str) -> DataFrame:
+    x = heads.strip_heads("text")
+    return _texts(spark, d).filter(x != T.trimmed("text")).select(*KEY, x.alias("stripped"), heads.has_substance(x).alias("substance"))
+
+
+@query
+def volume_head_strip(spark: SparkSession, d: str) -> DataFrame:
+    t = _texts(spark, d).withColumn("headed", F.concat(F.lit("Vol. XXVIII (December 1990) "), "text"))
+    return t.select(*KEY, T.strip_volume_head("headed").alias("stripped"))
+
+
+# --- formulas ---
+
+
+@query
+def formula_class(spark: SparkSession, d: str) -> DataFrame:
+    e = elements(spark, d, "kind", "text", "font").filter("kind in ('text', 'formula') and text is not null")
+    return e.select(*KEY, "kind", F.round(T.math_score("text"), 6).alias("score"), T.is_formula("text", "font", F.lit(1)).alias("formula"))
+
+
+@query
+def math_line_class(spark: SparkSession, d: str) -> DataFrame:
+    e = elements(spark, d, "kind", "text", "font").filter("kind in ('text', 'formula') and text is not null")
+    return e.select(*KEY, "kind", T.is_math_line("text", "font").alias("math"))
+
+
+# --- heads, stubs, folios ---
+
+
+@query
+def header_probe(spark: SparkSession, d: str) -> DataFrame:
+    return heads.probe(elements(spark, d, "kind", "sentences"), align.newest(translations(spark, d)))
+
+
+@query
+def repeated_header(spark: SparkSession, d: str) -> DataFrame:
+    return audit.repeated_header(elements(spark, d, "kind", "text", "sentences"))
+
+
+@query
+def zh_piece_learn(spark: SparkSession, d: str) -> DataFrame:
+    return heads.learn_pieces(align.newest(translations(spark, d)))
+
+
+@query
+def stub_pages(spark: SparkSession, d: str) -> DataFrame:
+    """On texts in which every `https` stands three times, as on a page of links."""
+    e = elements(spark, d, "kind", "text").withColumn("text", F.regexp_replace("text", "(?i)table", "https://a.b https://c.d https://e.f https://g.h"))
+    return heads.stub_pages(e)
+
+
+@query
+def folio_strip(spark: SparkSession, d: str) -> DataFrame:
+    e = layout.boxes(geometry(spark, d)).join(layout.page_sizes(pages(spark, d)), layout.PAGE)
+    return e.filter(layout.is_page_number()).select(*KEY, T.trimmed("text").alias("folio"))
+
+
+# --- geometry ---
+
+
+@query
+def layout_gutter(spark: SparkSession, d: str) -> DataFrame:
+    return layout.gutters(geometry(spark, d), pages(spark, d))
+
+
+@query
+def column_assign(spark: SparkSession, d: str) -> DataFrame:
+    return layout.columns(geometry(spark, d), pages(spark, d)).select(*KEY, "side")
+
+
+@query
+def column_right_edge(spark: SparkSession, d: str) -> DataFrame:
+    return layout.columns(geometry(spark, d), pages(spark, d)).select(*KEY, F.round("column_right", 2).alias("column_right"))
+
+
+@query
+def vertical_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return layout.coverage(geometry(spark, d), pages(spark, d)).select("doc_id", "page", F.round("covered", 4).alias("covered"))
+
+
+@query
+def uncovered_bands(spark: SparkSession, d: str) -> DataFrame:
+    return layout.uncovered_bands(geometry(spark, d), pages(spark, d))
+
+
+@query
+def scan_image_marks(spark: SparkSession, d: str) -> DataFrame:
+    return layout.scan_marks(geometry(spark, d), pages(spark, d))
+
+
+@query
+def covered_spans(spark: SparkSession, d: str) -> DataFrame:
+    return layout.covered_by_image(geometry(spark, d), pages(spark, d))
+
+
+@query
+def line_estimate(spark: SparkSession, d: str) -> DataFrame:
+    e = layout.boxes(geometry(spark, d)).filter("kind = 'text' and text is not null")
+    size = F.coalesce("size", F.lit(11.0))
+    return e.select(*KEY, F.round(T.text_advance("text", size), 2).alias("advance"), T.measure_lines("text", size, F.col("x1") - F.col("x0")).alias("lines"))
+
+
+@query
+def height_estimate(spark: SparkSession, d: str) -> DataFrame:
+    h = layout.estimated_heights(geometry(spark, d), align.newest(translations(spark, d)))
+    return h.select(*KEY, "lines", F.round("est_height", 2).alias("est_height"))
+
+
+@query
+def pushdown_layout(spark: SparkSession, d: str) -> DataFrame:
+    r = layout.relayout(geometry(spark, d), pages(spark, d), align.newest(translations(spark, d)))
+    return r.select(*KEY, "side", F.round("top", 2).alias("top"), F.round("bottom", 2).alias("bottom"))
+
+
+@query
+def box_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return layout.overlapping(geometry(spark, d))
+
+
+@query
+def column_pairing(spark: SparkSession, d: str) -> DataFrame:
+    return layout.column_pairing(geometry(spark, d), pages(spark, d))
+
+
+@query
+def coincident_slots(spark: SparkSession, d: str) -> DataFrame:
+    return layout.coincident(geometry(spark, d))
+
+
+@query
+def containment_dups(spark: SparkSession, d: str) -> DataFrame:
+    return layout.contained(geometry(spark, d))
+
+
+@query
+def line_gutter_mode(spark: SparkSession, d: str) -> DataFrame:
+    return layout.line_gutters(layout.word_boxes(geometry(spark, d)), pages(spark, d))
+
+
+@query
+def column_major_order(spark: SparkSession, d: str) -> DataFrame:
+    words = layout.word_boxes(geometry(spark, d))
+    return layout.reading_order(words, layout.line_gutters(words, pages(spark, d)))
+
+
+@query
+def word_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return layout.word_boxes(geometry(spark, d)).groupBy(*KEY).agg(F.count("*").alias("n"), F.round(F.max("wx1"), 2).alias("right"), F.round(F.avg("wx0"), 2).alias("mean_left"))
+
+
+# --- folds ---
+
+
+@query
+def text_run_merge(spark: SparkSession, d: str) -> DataFrame:
+    return folds.text_runs(geometry(spark, d))
+
+
+@query
+def paragraph_reflow(spark: SparkSession, d: str) -> DataFrame:
+    return folds.paragraphs(geometry(spark, d))
+
+
+@query
+def line_reflow(spark: SparkSession, d: str) -> DataFrame:
+    return folds.line_blocks(geometry(spark, d))
+
+
+@query
+def baseline_merge(spark: SparkSession, d: str) -> DataFrame:
+    return folds.baseline_lines(geometry(spark, d))
+
+
+@query
+def fraction_fold(spark: SparkSession, d: str) -> DataFrame:
+    return folds.fractions(geometry(spark, d))
+
+
+@query
+def orphan_absorb(spark: SparkSession, d: str) -> DataFrame:
+    return folds.orphans(geometry(spark, d))
+
+
+# --- translations ---
+
+
+@query
+def translation_newest(spark: SparkSession, d: str) -> DataFrame:
+    return align.newest(translations(spark, d)).select(*KEY, F.coalesce(F.array_join("segs", "|", "~"), F.lit("-")).alias("segs"))
+
+
+@query
+def align_segments(spark: SparkSession, d: str) -> DataFrame:
+    a = align.align_segments(elements(spark, d, "kind", "text", "sentences"), translations(spark, d))
+    return a.select(*KEY, "want", F.array_join("aligned", "|").alias("segs"), "note")
+
+
+@query
+def zh_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    a = align.reconcile(elements(spark, d, "kind", "text", "sentences"), translations(spark, d))
+    return a.select(*KEY, "want", "n_segs", F.array_join("fixed", "|").alias("segs"), "blanks")
+
+
+@query
+def translation_audit(spark: SparkSession, d: str) -> DataFrame:
+    return align.translation_audit(elements(spark, d, "kind", "text", "sentences"), translations(spark, d))
+
+
+@query
+def bibliography_unify(spark: SparkSession, d: str) -> DataFrame:
+    return align.unify_references(geometry(spark, d), pages(spark, d))
+
+
+@query
+def continuation_stitch(spark: SparkSession, d: str) -> DataFrame:
+    return align.stitch(elements(spark, d, "kind", "sentences"))
+
+
+@query
+def content_realign(spark: SparkSession, d: str) -> DataFrame:
+    """Old and new numbering: the new one counts text elements only."""
+    old = elements(spark, d, "kind", "text")
+    from pyspark.sql import Window
+
+    new = old.filter("kind = 'text'").withColumn("idx", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("idx")) - 1)
+    return align.realign(old, new)
+
+
+# --- gates and statistics ---
+
+
+@query
+def audit_findings(spark: SparkSession, d: str) -> DataFrame:
+    e = elements(spark, d, "kind", "bbox", "text", "size", "sentences", "skip")
+    return audit.findings(e, pages(spark, d), translations(spark, d))
+
+
+@query
+def severity_summary(spark: SparkSession, d: str) -> DataFrame:
+    return audit.severities(audit_findings(spark, d))
+
+
+@query
+def stage_stats(spark: SparkSession, d: str) -> DataFrame:
+    e = elements(spark, d, "kind", "sentences", "font")
+    said = F.when(F.col("kind") == "text", F.greatest(F.coalesce(F.size("sentences"), F.lit(0)), F.lit(0))).otherwise(0)
+    return e.groupBy("doc_id").agg(
+        F.count_if(F.col("kind") == "text").alias("texts"), F.count_if(F.col("kind") == "formula").alias("formulas"), F.count_if(F.col("kind") == "image").alias("images"),
+        F.sum(said).alias("sentences"), F.array_join(F.array_sort(F.collect_set("font")), ",").alias("fonts"),
+    )
+
+
+@query
+def page_render(spark: SparkSession, d: str) -> DataFrame:
+    return render.page_html(geometry(spark, d), translations(spark, d))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in SQL.items() if k in _QUERIES}
