@@ -172,9 +172,9 @@ def _by_shape(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def document_shapes(documents: DataFrame) -> DataFrame:
-    """(doc_id, shape, chars, units, prose, marked): characters and units of each document by shape. Null, empty and blank texts give no row;
+    """(doc_id, shape, chars, units, prose, marked): characters and units of each document by shape. Null, empty and blank texts, and rows without id, give no row;
     texts that come again under another id are judged again; a repeated row counts once."""
-    docs = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").dropDuplicates(["doc_id"])
+    docs = documents.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").dropDuplicates(["doc_id"])
     return docs.mapInPandas(_by_shape, "doc_id bigint, shape string, chars bigint, units bigint, prose boolean, marked boolean")
 
 
