@@ -15,15 +15,21 @@ weight of their own and are left out of joins, so that no term joins a large par
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.session import join_hot, materialize, small
 
 #: Terms in a larger share of a language's sentences don't link sentences.
-COMMON = 0.25
-#: Translations kept of a term, and the least cosine of their concept vectors.
-TRANSLATIONS, LEAST_COSINE = 8, 0.12
+COMMON = 0.12
+#: Translations kept of a term, the least cosine of their concept vectors, and their least share of the best one's.
+TRANSLATIONS, LEAST_COSINE, LEAST_RELATIVE = 6, 0.12, 0.35
+#: Pairs of sentences less similar than this are not ranked.
+FAINT = 0.08
 #: Least similarity and least coverage of an accepted pair; rounds of concepts.
 LEAST_SIM, LEAST_COVER, ROUNDS = 0.3, 0.42, 3
 #: Share of a merged sentence that its second counterpart must cover beyond the first.
@@ -31,16 +37,17 @@ GAIN = 0.1
 
 
 def sentences(elements: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, side, lang, doc_id, page, idx, sent, pos, text): sentences of both documents of each pair, pos being
-    the sentence's relative place in its document. Null and blank sentences keep their number but give no row."""
-    p = pairs.dropna(subset=["doc_a", "doc_b"]).dropDuplicates(["doc_a", "doc_b"])
-    side = lambda s: p.select("doc_a", "doc_b", F.lit(s).alias("side"), F.coalesce(f"lang_{s}", F.lit("")).alias("lang"), F.coalesce("lang_b" if s == "a" else "lang_a", F.lit("")).alias("other"), F.col(f"doc_{s}").alias("doc_id"))
+    """(pair, doc_a, doc_b, side, lang, other, direction, doc_id, page, idx, sent, sid, pos, text): sentences of both documents of
+    each pair; sid numbers the sentences of a document, pos is the relative place. Keys are numbers, as they are shuffled often. Null and blank sentences keep their number but give no row."""
+    p = materialize(pairs.dropna(subset=["doc_a", "doc_b"]).dropDuplicates(["doc_a", "doc_b"]).withColumn("pair", F.monotonically_increasing_id()), "p2-pairs")
+    side = lambda s: p.select("pair", "doc_a", "doc_b", F.lit(s).alias("side"), F.coalesce(f"lang_{s}", F.lit("")).alias("lang"), F.coalesce("lang_b" if s == "a" else "lang_a", F.lit("")).alias("other"), F.col(f"doc_{s}").alias("doc_id"))
     both = side("a").unionByName(side("b"))
     rows = elements.filter(F.size("sentences") > 0).select("doc_id", "page", "idx", "sentences")
-    mine = join_hot(rows, both, ["doc_id"], salt_from=["page", "idx"]).dropDuplicates(["doc_a", "doc_b", "side", "page", "idx"])
-    out = mine.select("doc_a", "doc_b", "side", "lang", "other", "doc_id", "page", "idx", F.posexplode("sentences").alias("sent", "text")).filter(F.trim("text") != "")
-    place = Window.partitionBy("doc_a", "doc_b", "side")
-    return out.withColumn("n_sent", F.count("*").over(place)).withColumn("pos", F.row_number().over(place.orderBy("page", "idx", "sent")) / F.col("n_sent"))
+    mine = join_hot(rows, both, ["doc_id"], salt_from=["page", "idx"]).dropDuplicates(["pair", "side", "page", "idx"])
+    out = mine.select("pair", "doc_a", "doc_b", "side", "lang", "other", "doc_id", "page", "idx", F.posexplode("sentences").alias("sent", "text")).filter(F.trim("text") != "")
+    place = Window.partitionBy("pair", "side")
+    numbered = out.withColumn("sid", F.row_number().over(place.orderBy("page", "idx", "sent")))
+    return numbered.withColumn("pos", (F.col("sid") / F.count("*").over(place)).cast("float")).withColumn("direction", F.xxhash64("lang", "other"))
 
 
 def terms(sents: DataFrame) -> DataFrame:
@@ -49,37 +56,81 @@ def terms(sents: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]][\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]*"), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"), F.lit(0))
     grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
-    return sents.withColumn("term", F.explode(F.array_distinct(F.concat(words, grams)))).drop("text")
+    return sents.withColumn("term", F.explode(F.array_distinct(F.concat(words, grams)))).withColumn("term", F.xxhash64("term")).drop("text")
 
 
 def _weighted(t: DataFrame, n_sents: DataFrame) -> DataFrame:
-    """Terms with weight idf over the sentences of their language; sums per sentence in `total` (all terms)."""
+    """Terms with weight idf over the sentences of their language, and the sentence's sum of weights."""
     df = t.groupBy("lang", "term").agg(F.count("*").alias("df"))
-    idf = df.join(small(n_sents), "lang").select("lang", "term", F.when(F.col("df") > F.greatest(F.lit(8), F.lit(COMMON) * F.col("n")), F.lit(0.0)).otherwise(F.log((F.col("n") + 1) / F.col("df"))).alias("w"))
-    weighted = join_hot(t, idf, ["lang", "term"], salt_from=["sid"])
-    return weighted.filter("w > 0").withColumn("total", F.sum("w").over(Window.partitionBy("sid")))
+    idf = df.join(small(n_sents), "lang").filter(F.col("df") <= F.greatest(F.lit(8), F.lit(COMMON) * F.col("n")))
+    idf = idf.select("lang", "term", F.log((F.col("n") + 1) / F.col("df")).cast("float").alias("w"))
+    weighted = join_hot(t, idf, ["lang", "term"], salt_from=["pair", "sid"])
+    return weighted.withColumn("total", F.sum("w").over(Window.partitionBy("pair", "side", "sid")).cast("float"))
 
 
-def _score(a: DataFrame, b: DataFrame, lexicon: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sentence pairs of one document pair that share a concept: (pair, sid_a, sid_b, cover_a, cover_b, sim, far), and the
-    terms of a and of b that each covers: (pair, sid_a, sid_b, term, w, alike)."""
-    left = a.select("pair", "lang", "other", "sid", "term", "w", "total", "pos", F.col("term").alias("as_term"), F.lit(1.0).alias("alike"))
+def _score(a: DataFrame, b: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+    """Sentence pairs of one document pair that share a concept: (pair, sid_a, sid_b, total, total_b, hits_a, hits_b, cover_a,
+    cover_b, sim, far). hits_a are the terms of a with the likeness of their best match in b, and hits_b the reverse."""
+    left = a.select("pair", "sid", "term", "w", "total", "pos", F.col("term").alias("as_term"), F.lit(1.0).cast("float").alias("alike"))
     if lexicon is not None:
-        translated = join_hot(a, lexicon, ["lang", "other", "term"], salt_from=["sid"]).select("pair", "lang", "other", "sid", "term", "w", "total", "pos", "as_term", "alike")
-        left = left.unionByName(translated)
+        translated = join_hot(a.drop("as_term"), lexicon, ["direction", "term"], salt_from=["pair", "sid"])
+        left = left.unionByName(translated.select(*left.columns))
     right = b.select("pair", F.col("sid").alias("sid_b"), F.col("term").alias("as_term"), F.col("w").alias("w_b"), F.col("total").alias("total_b"), F.col("pos").alias("pos_b"))
     hits = left.join(right, ["pair", "as_term"])
-    # a term is covered by its best match in the other sentence
-    of_a = hits.groupBy("pair", "sid", "sid_b", "term").agg(F.max("alike").alias("alike"), *[F.first(c).alias(c) for c in ("w", "total", "total_b", "pos", "pos_b")])
-    cover_a = of_a.groupBy("pair", "sid", "sid_b").agg(F.sum(F.col("w") * F.col("alike")).alias("got_a"), *[F.first(c).alias(c) for c in ("total", "total_b", "pos", "pos_b")])
-    of_b = hits.groupBy("pair", "sid", "sid_b", "as_term").agg(F.max("alike").alias("alike"), F.first("w_b").alias("w_b"))
-    cover_b = of_b.groupBy("pair", "sid", "sid_b").agg(F.sum(F.col("w_b") * F.col("alike")).alias("got_b"))
-    both = cover_a.join(cover_b, ["pair", "sid", "sid_b"])
-    terms_a = of_a.select("pair", F.col("sid").alias("sid_a"), "sid_b", "term", "w", "alike")
-    terms_b = of_b.select("pair", F.col("sid").alias("sid_a"), "sid_b", F.col("as_term").alias("term"), F.col("w_b").alias("w"), "alike")
-    scored = both.select("pair", F.col("sid").alias("sid_a"), "sid_b", "total", "total_b", "got_a", "got_b", (F.col("got_a") / F.col("total")).alias("cover_a"), (F.col("got_b") / F.col("total_b")).alias("cover_b"),
-                       F.sqrt(F.col("got_a") * F.col("got_b") / (F.col("total") * F.col("total_b"))).alias("sim"), F.abs(F.col("pos") - F.col("pos_b")).alias("far"))
-    return scored, terms_a, terms_b
+    near = hits.repartition("pair", "sid").sortWithinPartitions("pair", "sid")
+    return near.select(*_HITS).mapInArrow(_cells, _CELLS)
+
+
+_HITS = ["pair", "sid", "sid_b", "term", "as_term", "alike", "w", "w_b", "total", "total_b", "pos", "pos_b"]
+_HIT = "array<struct<t:bigint,alike:float,w:float>>"
+_CELLS = f"pair bigint, sid_a int, sid_b int, total float, total_b float, hits_a {_HIT}, hits_b {_HIT}, cover_a double, cover_b double, sim double, far double"
+#: Hits scored at once, at least; the terms of one sentence stay together.
+CHUNK = 300_000
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined to chunks that end where a sentence of a does."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= CHUNK:
+            t = pa.Table.from_batches(held)
+            pair, sid = t["pair"].to_numpy(), t["sid"].to_numpy()
+            cut = np.flatnonzero((pair[1:] != pair[:-1]) | (sid[1:] != sid[:-1]))
+            if len(cut):
+                yield t.slice(0, cut[-1] + 1)
+                held, n = t.slice(cut[-1] + 1).to_batches(), len(t) - cut[-1] - 1
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _best(cell: np.ndarray, term: np.ndarray, alike: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Per cell (numbered in order): the weight of its terms times their best likeness, and the terms themselves."""
+    order = np.lexsort((-alike, term, cell))
+    c, t = cell[order], term[order]
+    first = np.r_[True, (c[1:] != c[:-1]) | (t[1:] != t[:-1])]
+    at = order[first]
+    starts = np.flatnonzero(np.r_[True, np.diff(cell[at]) != 0])
+    got = np.add.reduceat((w[at] * alike[at]).astype(np.float64), starts)
+    rows = pa.StructArray.from_arrays([pa.array(term[at]), pa.array(alike[at], pa.float32()), pa.array(w[at], pa.float32())], ["t", "alike", "w"])
+    return got, pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)].astype(np.int32)), rows)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in _chunks(batches):
+        x = {c: t[c].to_numpy() for c in _HITS}
+        new = np.r_[True, (x["pair"][1:] != x["pair"][:-1]) | (x["sid"][1:] != x["sid"][:-1])]
+        key = np.cumsum(new).astype(np.int64) * (1 << 31) + x["sid_b"]
+        _, at, cell = np.unique(key, return_index=True, return_inverse=True)
+        got_a, hits_a = _best(cell, x["term"], x["alike"], x["w"])
+        got_b, hits_b = _best(cell, x["as_term"], x["alike"], x["w_b"])
+        cover_a, cover_b = got_a / x["total"][at], got_b / x["total_b"][at]
+        sim = np.sqrt(cover_a * cover_b)
+        cols = [pa.array(x["pair"][at]), pa.array(x["sid"][at], pa.int32()), pa.array(x["sid_b"][at], pa.int32()), pa.array(x["total"][at]), pa.array(x["total_b"][at]), hits_a, hits_b, pa.array(cover_a), pa.array(cover_b), pa.array(sim), pa.array(np.abs(x["pos"][at] - x["pos_b"][at]).astype(np.float64))]
+        table = pa.Table.from_arrays(cols, ["pair", "sid_a", "sid_b", "total", "total_b", "hits_a", "hits_b", "cover_a", "cover_b", "sim", "far"])
+        yield from table.filter(pa.array(sim >= FAINT)).to_batches()
 
 
 def _ranked(scored: DataFrame) -> DataFrame:
@@ -92,19 +143,20 @@ def _ranked(scored: DataFrame) -> DataFrame:
 
 
 def _lexicon(concepts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(lang, other, term, as_term, alike): cosine of the concept vectors of terms, best translations of each term."""
-    va = concepts.join(a.select("pair", F.col("sid").alias("sid_a"), "lang", "other", "term"), ["pair", "sid_a"]).select("concept", "lang", "other", "term")
-    vb = concepts.join(b.select("pair", F.col("sid").alias("sid_b"), F.col("lang").alias("l2"), F.col("other").alias("o2"), F.col("term").alias("as_term")), ["pair", "sid_b"]).select("concept", "as_term")
-    va, vb = materialize(va, "p2-vectors"), materialize(vb, "p2-vectors")
-    na = va.groupBy("lang", "other", "term").agg(F.count("*").alias("na"))
-    langs = va.select("concept", "lang", "other").distinct()
-    nb = vb.join(langs, "concept").groupBy("lang", "other", "as_term").agg(F.count("*").alias("nb"))
-    together = va.join(vb, "concept").filter(F.col("term") != F.col("as_term")).groupBy("lang", "other", "term", "as_term").agg(F.count("*").alias("n"))
-    scored = together.filter("n >= 2").join(na, ["lang", "other", "term"]).join(nb, ["lang", "other", "as_term"])
+    """(direction, term, as_term, alike): cosine of the concept vectors of terms, best translations of each term."""
+    va = concepts.join(a.select("pair", F.col("sid").alias("sid_a"), "direction", "term"), ["pair", "sid_a"])
+    vb = concepts.join(b.select("pair", F.col("sid").alias("sid_b"), F.col("term").alias("as_term")), ["pair", "sid_b"])
+    both = va.groupBy("pair", "sid_a", "sid_b", "direction").agg(F.collect_list("term").alias("ta")).join(vb.groupBy("pair", "sid_a", "sid_b").agg(F.collect_list("as_term").alias("tb")), ["pair", "sid_a", "sid_b"])
+    both = materialize(both.select("direction", "ta", "tb"), "p2-vectors")  # one row per concept
+    na = both.select("direction", F.explode("ta").alias("term")).groupBy("direction", "term").agg(F.count("*").alias("na"))
+    nb = both.select("direction", F.explode("tb").alias("as_term")).groupBy("direction", "as_term").agg(F.count("*").alias("nb"))
+    together = both.select("direction", F.explode("ta").alias("term"), "tb").select("direction", "term", F.explode("tb").alias("as_term")).filter("term <> as_term").groupBy("direction", "term", "as_term").agg(F.count("*").alias("n"))
+    scored = together.filter("n >= 2").join(na, ["direction", "term"]).join(nb, ["direction", "as_term"])
     scored = scored.withColumn("alike", (F.col("n") - 0.7) / F.sqrt(F.col("na") * F.col("nb"))).filter(F.col("alike") >= LEAST_COSINE)
-    best = scored.withColumn("k", F.row_number().over(Window.partitionBy("lang", "other", "term").orderBy(F.col("alike").desc(), "as_term"))).filter(F.col("k") <= TRANSLATIONS)
-    top = best.withColumn("top", F.max("alike").over(Window.partitionBy("lang", "other", "term")))
-    return top.select("lang", "other", "term", "as_term", F.least(F.lit(1.0), F.col("alike") / F.greatest(F.col("top"), F.lit(0.5))).alias("alike"))
+    mine = Window.partitionBy("direction", "term")
+    best = scored.withColumn("k", F.row_number().over(mine.orderBy(F.col("alike").desc(), "as_term"))).filter(F.col("k") <= TRANSLATIONS)
+    top = best.withColumn("top", F.max("alike").over(mine)).filter(F.col("alike") >= LEAST_RELATIVE * F.col("top"))
+    return top.select("direction", "term", "as_term", F.least(F.lit(1.0), F.col("alike") / F.greatest(F.col("top"), F.lit(0.5))).cast("float").alias("alike"))
 
 
 def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -113,43 +165,37 @@ def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUND
     A pair is given if each is the other's best, or if one is the best of the other, covers it, and has room for it beside
     its partner (a merged sentence). A sentence without counterpart gives none. Pairs of documents that have no sentences
     give none; repeated rows of either table count once; equal sentences are told apart by their places."""
-    s = sentences(elements, pairs)
-    s = materialize(s.withColumn("pair", F.concat_ws("-", "doc_a", "doc_b")).withColumn("sid", F.concat_ws("-", "side", "pair", "page", "idx", "sent")), "p2-sentences")
+    s = materialize(sentences(elements, pairs), "p2-sentences")
     n = s.groupBy("lang").agg(F.count("*").alias("n"))
-    w = materialize(_weighted(terms(s.select("pair", "side", "lang", "other", "sid", "pos", "text")), n), "p2-terms")
-    a, b = w.filter("side = 'a'"), w.filter("side = 'b'")
+    w = materialize(_weighted(terms(s.select("pair", "side", "lang", "direction", "sid", "pos", "text")), n).drop("lang"), "p2-terms")
+    a, b = w.filter("side = 'a'").drop("side"), w.filter("side = 'b'").drop("side")
     lexicon = None
-    for r in range(rounds + 1):
-        scored, terms_a, terms_b = _score(a, b, lexicon)
-        ranked = _ranked(scored)
-        if r == rounds:
-            break
+    for r in range(rounds):
+        ranked = _ranked(_score(a, b, lexicon).drop("hits_a", "hits_b"))
         least = 0.1 if r == 0 else LEAST_SIM
         mutual = ranked.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & (F.col("sim") >= least) & (F.col("rate") > 1.1 * F.col("next_a")) & (F.col("rate") > 1.1 * F.col("next_b")))
-        concepts = materialize(mutual.select("pair", "sid_a", "sid_b", F.concat_ws("|", "sid_a", "sid_b").alias("concept")), "p2-concepts")
+        concepts = materialize(mutual.select("pair", "sid_a", "sid_b"), "p2-concepts")
         lexicon = materialize(_lexicon(concepts, a, b), "p2-lexicon")
-    scored = materialize(ranked, "p2-scored")
+    scored = materialize(_ranked(_score(a, b, lexicon)).filter("rank_a <= 2 or rank_b <= 2"), "p2-scored")
     best = scored.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & (F.col("sim") >= LEAST_SIM) & (F.greatest("cover_a", "cover_b") >= LEAST_COVER))
-    return _with_places(_spans(scored, best, terms_a, terms_b), s)
+    return _with_places(_spans(scored, best), s)
 
 
-def _spans(scored: DataFrame, best: DataFrame, terms_a: DataFrame, terms_b: DataFrame) -> DataFrame:
+def _spans(scored: DataFrame, best: DataFrame) -> DataFrame:
     """Mutual best pairs, and for merged sentences the counterpart beside the partner: a sentence without partner of its
     own, of which the merged one is the best, and which covers a share GAIN of it that the partner doesn't."""
     found = best.select("pair", "sid_a", "sid_b", "sim")
-    for one, many, hits in (("a", "b", terms_a), ("b", "a", terms_b)):
+    for one, many in (("a", "b"), ("b", "a")):
         host, guest = f"sid_{one}", f"sid_{many}"
-        partner = best.select("pair", host, F.col(guest).alias("partner"))
+        partner = best.select("pair", host, F.transform(f"hits_{one}", lambda x: x.t).alias("had"), F.transform(f"hits_{one}", lambda x: x.alike).alias("had_alike"))
         free = scored.join(best.select("pair", guest), ["pair", guest], "left_anti")
         extra = free.filter((F.col(f"rank_{many}") == 1) & (F.col(f"cover_{many}") >= LEAST_COVER)).join(partner, ["pair", host])
-        extra = materialize(extra.select("pair", host, guest, "partner", "sim", "rate", F.col("total" if one == "a" else "total_b").alias("whole")), "p2-extra")
-        own = extra.join(hits, ["pair", host, guest])
-        theirs = hits.select("pair", host, F.col(guest).alias("partner"), "term", F.col("alike").alias("had"))
-        gain = own.join(theirs, ["pair", host, "partner", "term"], "left").groupBy("pair", host, guest).agg(
-            F.sum(F.col("w") * F.greatest(F.lit(0.0), F.col("alike") - F.coalesce("had", F.lit(0.0))) / F.col("whole")).alias("gain"), F.first("sim").alias("sim"), F.first("rate").alias("rate"))
+        had = lambda x: F.coalesce(F.try_element_at("had_alike", F.when(F.array_position("had", x.t) > 0, F.array_position("had", x.t)).cast("int")), F.lit(0.0))
+        more = F.aggregate(f"hits_{one}", F.lit(0.0), lambda acc, x: acc + x.w * F.greatest(F.lit(0.0), x.alike - had(x)))
+        gain = extra.withColumn("gain", more / F.col("total" if one == "a" else "total_b"))
         pick = Window.partitionBy("pair", host).orderBy(F.col("gain").desc(), guest)
-        more = gain.filter(F.col("gain") >= GAIN).withColumn("k", F.row_number().over(pick)).filter("k = 1")
-        found = found.unionByName(more.select("pair", "sid_a", "sid_b", "sim"))
+        kept = gain.filter(F.col("gain") >= GAIN).withColumn("k", F.row_number().over(pick)).filter("k = 1")
+        found = found.unionByName(kept.select("pair", "sid_a", "sid_b", "sim"))
     return found.dropDuplicates(["pair", "sid_a", "sid_b"])
 
 
