@@ -52,6 +52,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_noise(table(spark, d, "elements"), table(spark, d, "pages_geo"))
 
 
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_paragraphs(table(spark, d, "elements"), table(spark, d, "pages_geo"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.filter(F.col("run") >= leaks.RUN).select("doc_id", "item_id")
@@ -75,7 +79,7 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p3_found, p4_found, p5_found, p5_bigrams, p6_found, p7_found, p8_shares, p8_rows, p9_found, p9_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p3_found, p4_found, p5_found, p5_bigrams, p6_found, p6_repaired, p7_found, p8_shares, p8_rows, p9_found, p9_shapes)}
 
 
 # An independent account in SQL of the queries that SQL expresses in reasonable time.

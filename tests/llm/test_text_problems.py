@@ -192,7 +192,16 @@ def test_scan_noise(spark, scanned):
     assert not [r for r in scans.scan_noise(scanned, pages).collect() if r.doc_id == 2]
 
 
+def test_repair(spark, scanned):
+    pages = spark.createDataFrame([(d, p, 500.0, 700.0) for d in (1, 2) for p in range(1, 7)], "doc_id bigint, page int, width double, height double")
+    got = {(r.page, r.idx): r.text for r in scans.repaired_paragraphs(scanned, pages).collect()}
+    assert {k[0] for k in got} == set(range(1, 7)) and (2, 2) in got
+    assert "istory" not in got[2, 2] and "21" not in " ".join(t for k, t in got.items() if k[0] == 1)
+    assert "the harvest and the long-term law" in got[3, 2] and "the harvest is here" in got[4, 2] and "It is percent of the long-term law." in got[5, 2]
+    assert scans.mended("A B\nTHE HARVCST is Harvcst", {"first"}, {"harvcst": "harvest"}, set()) == "THE HARVEST is Harvest"
+
+
 def test_scan_noise_empty(spark, make_elements):
     pages = spark.createDataFrame([], "doc_id bigint, page int, width double, height double")
-    assert scans.scan_noise(make_elements(), pages).count() == 0
+    assert scans.scan_noise(make_elements(), pages).count() == 0 and scans.repaired_paragraphs(make_elements(), pages).count() == 0
     assert scans.scan_noise(make_elements({"doc_id": 1, "text": "a b"}), pages).count() == 0
