@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
-from quirefold.operators import align, audit, folds, heads, layout, lexicon, render
+from quirefold.operators import align, audit, folds, heads, layout, lexicon, render, rules
 from quirefold.plans.core_sql import SQL
 from quirefold.sources.tables import table
 
@@ -170,13 +170,47 @@ def volume_head_strip(spark: SparkSession, d: str) -> DataFrame:
     return t.select(*KEY, T.strip_volume_head("headed").alias("stripped"))
 
 
+#: Rules in the manner of a user's table: fused and broken words, one exact splice.
+RULES = (
+    rules.Rule("harvest", "harvest yield", True, True), rules.Rule("the yield", "that yield"), rules.Rule("Table", "TABLE"), rules.Rule("well-known", "known", True), rules.Rule(" ,", ",", exact=True),
+)
+
+
+@query
+def rule_repairs(spark: SparkSession, d: str) -> DataFrame:
+    t = _texts(spark, d)
+    return t.select(*KEY, rules.apply_rules(F.col("text"), RULES).alias("repaired"))
+
+
+@query
+def font_stacks(spark: SparkSession, d: str) -> DataFrame:
+    return elements(spark, d, "font").groupBy("font", rules.font_stack("font").alias("family")).agg(F.count("*").alias("n"))
+
+
 # --- formulas ---
 
 
+def _overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Overrides for the texts of the formulas of even pages, and one that no formula has."""
+    f = elements(spark, d, "kind", "text").filter("kind = 'formula' and page % 2 = 0").select(F.concat(F.lit(" "), "text").alias("src_text"), F.replace("text", F.lit(" "), F.lit("")).alias("new_text")).distinct()
+    return f.unionByName(spark.createDataFrame([("no = such", "x")], "src_text string, new_text string"))
+
+
+@query
+def formula_overrides(spark: SparkSession, d: str) -> DataFrame:
+    return rules.override_formulas(elements(spark, d, "kind", "text"), _overrides(spark, d))
+
+
+@query
+def stale_overrides(spark: SparkSession, d: str) -> DataFrame:
+    return rules.stale_overrides(elements(spark, d, "kind", "text"), _overrides(spark, d))
+
+
+
 @query
 def formula_class(spark: SparkSession, d: str) -> DataFrame:
     e = elements(spark, d, "kind", "text", "font").filter("kind in ('text', 'formula') and text is not null")
-    return e.select(*KEY, "kind", F.round(T.math_score("text"), 6).alias("score"), T.is_formula("text", "font", F.lit(1)).alias("formula"))
+    return e.select(*KEY, "kind", T.math_points("text").alias("points"), T.is_formula("text", "font", F.lit(1)).alias("formula"))
 
 
 @query
@@ -210,6 +244,13 @@ def stub_pages(spark: SparkSession, d: str) -> DataFrame:
     return heads.stub_pages(e)
 
 
+@query
+def page_renumber(spark: SparkSession, d: str) -> DataFrame:
+    """Stub pages of stub_pages dropped, the others numbered anew."""
+    e = elements(spark, d, "kind", "text").withColumn("text", F.regexp_replace("text", "(?i)table", "https://a.b https://c.d https://e.f https://g.h"))
+    return rules.without_stubs(e).select("doc_id", "page", "new_page").distinct()
+
+
 @query
 def folio_strip(spark: SparkSession, d: str) -> DataFrame:
     e = layout.boxes(geometry(spark, d)).join(layout.page_sizes(pages(spark, d)), layout.PAGE)

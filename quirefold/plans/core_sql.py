@@ -96,7 +96,8 @@ RESOLVED = f"""voc AS (SELECT DISTINCT doc_id, lower(w) AS w FROM tok), ws AS (S
 res AS (SELECT * EXCLUDE (k) FROM (SELECT c.word, e.word AS entry, candidate, tier, m, row_number() OVER (PARTITION BY c.word ORDER BY candidate, tier) AS k FROM cands c JOIN ent e ON e.word = c.form) WHERE k = 1)"""
 
 SIGNS = f"[{T.MATH_CHARS}]"
-SCORE = f"CASE WHEN length({trim('text')}) < 2 THEN 0 ELSE ({n(SIGNS, trim('text'))} + 0.5 * {n('[0-9]', trim('text'))} + 0.7 * {n('[=+*/^_<>|(){}' + chr(92) + '[' + chr(92) + ']' + chr(92) * 2 + '-]', trim('text'))}) / length({trim('text')}) END"
+_OPERATORS = n("[=+*/^_<>|(){}" + chr(92) + "[" + chr(92) + "]" + chr(92) * 2 + "-]", trim("text"))
+POINTS = f"CASE WHEN length({trim('text')}) < 2 THEN 0 ELSE CAST(10 * {n(SIGNS, trim('text'))} + 5 * {n('[0-9]', trim('text'))} + 7 * {_OPERATORS} AS INTEGER) END"
 
 SIDES = f"""body AS (SELECT e.*, width, height, x0 > width * 0.5 AS r FROM el e JOIN geo USING (doc_id, page) WHERE bbox IS NOT NULL AND width > 0 AND height > 0 AND kind = 'text' AND NOT {BLANK}),
 gut AS (SELECT doc_id, page, gutter FROM (SELECT doc_id, page, max(height) AS h, count(*) FILTER (r) AS nr, count(*) FILTER (NOT r) AS nl, min(x0) FILTER (r) AS gutter, min(y0) FILTER (r) AS t, max(y1) FILTER (r) AS b,
@@ -126,6 +127,20 @@ def head(x: str, width: int, clip: bool) -> str:
     return trim(f"regexp_replace({h}, '\\s+', ' ', 'g')")
 
 
+def word_rule(x: str, bad: str, good: str, flags: str) -> str:
+    for _ in range(2):  # neighbours share the sign between them
+        x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_]){bad}($|[^\p{{L}}\p{{N}}_])', '\1{chr(1)}\2', '{flags}')"
+    return f"replace({x}, '{chr(1)}', '{good}')"
+
+
+RULED = "text"
+for _bad, _good, _flags in (("HARVEST", "HARVEST YIELD", "g"), ("harvest", "harvest yield", "gi"), ("the yield", "that yield", "g"), ("Table", "TABLE", "g"), ("well-known", "known", "gi")):
+    RULED = word_rule(RULED, _bad, _good, _flags)
+RULED = f"replace({RULED}, ' ,', ',')"
+STUBBED = f"""st AS (SELECT doc_id, page, kind, coalesce(regexp_replace(text, '(?i)table', 'https://a.b https://c.d https://e.f https://g.h', 'g'), '') AS t FROM el),
+stub AS (SELECT doc_id, page FROM (SELECT doc_id, page, sum(length(t)) + count(*) - 1 AS n, sum({n('https?://', 't')}) AS u FROM st WHERE kind = 'text' GROUP BY 1, 2) WHERE n > 200 AND u >= 3 AND u * 60 > n)"""
+OVERRIDES = "f AS (SELECT DISTINCT ' ' || text AS src_text, replace(text, ' ', '') AS new_text FROM el WHERE kind = 'formula' AND page % 2 = 0 UNION ALL SELECT 'no = such', 'x')"
+
 NONBLANK = f"list_filter(coalesce(segs, []), lambda z: coalesce({trim('z')}, '') <> '')"
 WANT = "want AS (SELECT doc_id, page, idx, text, sentences, CAST(len(sentences) AS INTEGER) AS want FROM el WHERE kind = 'text' AND len(sentences) > 0)"
 MARKS = "(?i)(" + "|".join(T.PLACEHOLDERS) + ")"
@@ -153,9 +168,9 @@ SELECT t, array_to_string(list_transform(list_slice(list_filter(g, lambda x, i:
     "word_repairs": f"WITH {EL} SELECT doc_id, page, idx, {repairs('hurt')} AS repaired FROM (SELECT *, replace(text, 'finance', 'jinance') || ' HE BANK, macmacroeconomics' AS hurt FROM el WHERE kind = 'text' AND text LIKE '%finance%')",
     "header_strip": f"WITH {EL} SELECT doc_id, page, idx, {strip_heads('text')} AS stripped, regexp_matches({strip_heads('text')}, '[0-9A-Za-z一-鿿]') AS substance FROM el WHERE kind = 'text' AND text IS NOT NULL AND {strip_heads('text')} <> {trim('text')}",
     "volume_head_strip": f"WITH {EL} SELECT doc_id, page, idx, regexp_replace(text, '^\\s+', '') AS stripped FROM el WHERE kind = 'text' AND text IS NOT NULL",
-    "formula_class": f"""WITH {EL}, a AS (SELECT doc_id, page, idx, kind, font, {trim('text')} AS x, {SCORE} AS s FROM el WHERE kind IN ('text', 'formula') AND text IS NOT NULL),
-b AS (SELECT *, {n('(?:^|[^A-Za-z0-9_])[A-Za-z]{1,3}(?:_|' + chr(92) + '^)', 'x')} AS tk, {n('[A-Za-z]{4,}', 'x')} AS lw, coalesce(regexp_matches(font, '{T.MATH_FONT}'), false) AS mf FROM a)
-SELECT doc_id, page, idx, kind, round(s, 6) AS score, CASE WHEN x = '' THEN false WHEN mf AND s >= 0.2 THEN true WHEN contains(x, '=') AND (tk > 0 OR s >= 0.3) AND lw <= 2 THEN true WHEN s >= 0.6 AND length(x) >= 4 THEN true
+    "formula_class": f"""WITH {EL}, a AS (SELECT doc_id, page, idx, kind, font, {trim('text')} AS x, {POINTS} AS points FROM el WHERE kind IN ('text', 'formula') AND text IS NOT NULL),
+b AS (SELECT *, points / 10.0 / greatest(1, length(x)) AS s, {n('(?:^|[^A-Za-z0-9_])[A-Za-z]{1,3}(?:_|' + chr(92) + '^)', 'x')} AS tk, {n('[A-Za-z]{4,}', 'x')} AS lw, coalesce(regexp_matches(font, '{T.MATH_FONT}'), false) AS mf FROM a)
+SELECT doc_id, page, idx, kind, points, CASE WHEN x = '' THEN false WHEN mf AND s >= 0.2 THEN true WHEN contains(x, '=') AND (tk > 0 OR s >= 0.3) AND lw <= 2 THEN true WHEN s >= 0.6 AND length(x) >= 4 THEN true
 WHEN s >= 0.4 AND lw <= 1 THEN true ELSE tk > 0 AND length(x) <= 90 AND lw <= 3 END AS formula FROM b""",
     "math_line_class": f"""WITH {EL}, a AS (SELECT doc_id, page, idx, kind, {trim('text')} AS x, coalesce(regexp_matches(font, '^({'|'.join(T.MATH_FONTS)})'), false) AS mf FROM el WHERE kind IN ('text', 'formula') AND text IS NOT NULL),
 b AS (SELECT *, list_has_any(list_transform(regexp_extract_all(x, '[A-Za-z]+'), lambda w: lower(w)), [{quoted(T.FUNCTION_WORDS)}]) AS prose, {n('[' + T.MATH_CHARS + '=]', 'x')} AS signs FROM a)
@@ -165,6 +180,11 @@ SELECT doc_id, page, 'zh', {head('segs[1]', 16, False)} FROM tr WHERE len(segs)
     "repeated_header": f"WITH {EL} SELECT doc_id, head, count(*) AS n FROM (SELECT doc_id, {head('text', 48, False)} AS head FROM el WHERE kind = 'text' AND NOT {BLANK}) WHERE length(head) >= 12 GROUP BY 1, 2 HAVING count(*) >= 3",
     "stub_pages": f"""WITH {EL}, p AS (SELECT doc_id, page, sum(length(t)) + count(*) - 1 AS n, sum({n('https?://', 't')}) AS u FROM (SELECT doc_id, page, coalesce(regexp_replace(text, '(?i)table', 'https://a.b https://c.d https://e.f https://g.h', 'g'), '') AS t FROM el WHERE kind = 'text') GROUP BY 1, 2)
 SELECT doc_id, page FROM p WHERE n > 200 AND u >= 3 AND u * 60 > n""",
+    "rule_repairs": f"WITH {EL} SELECT doc_id, page, idx, {RULED} AS repaired FROM el WHERE kind = 'text' AND text IS NOT NULL",
+    "font_stacks": f"WITH {EL} SELECT font, CASE WHEN regexp_matches(lower(coalesce(font, '')), 'times|serif|tiro|nimbusrom|minion|georgia|cmr') THEN 'serif' WHEN regexp_matches(lower(coalesce(font, '')), 'cour|mono|consol') THEN 'monospace' ELSE 'sans-serif' END AS family, count(*) AS n FROM el GROUP BY 1, 2",
+    "formula_overrides": f"WITH {EL}, {OVERRIDES} SELECT doc_id, page, idx, text, g.new_text FROM el JOIN (SELECT regexp_replace(src_text, '\\s+', '', 'g') AS k, min(new_text) AS new_text FROM f GROUP BY 1) g ON g.k = regexp_replace(text, '\\s+', '', 'g') WHERE kind = 'formula'",
+    "stale_overrides": f"WITH {EL}, {OVERRIDES} SELECT src_text, new_text FROM f WHERE regexp_replace(src_text, '\\s+', '', 'g') NOT IN (SELECT regexp_replace(text, '\\s+', '', 'g') FROM el WHERE kind = 'formula' AND text IS NOT NULL)",
+    "page_renumber": f"WITH {EL}, {STUBBED} SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS INTEGER) AS new_page FROM (SELECT DISTINCT doc_id, page FROM el EXCEPT SELECT doc_id, page FROM stub)",
     "folio_strip": f"WITH {EL}, {GEO} SELECT doc_id, page, idx, {trim('text')} AS folio FROM el JOIN geo USING (doc_id, page) WHERE kind IN ('text', 'formula') AND regexp_full_match({trim('text')}, '[0-9]{{1,4}}') AND x1 - x0 <= 0.12 * width AND (y1 < 0.12 * height OR y0 > 0.9 * height)",
     "layout_gutter": f"WITH {EL}, {GEO}, {SIDES} SELECT * FROM gut",
     "column_assign": f"WITH {EL}, {GEO}, {SIDES} SELECT doc_id, page, idx, side FROM col",
