@@ -214,7 +214,7 @@ def word_boxes(elements: DataFrame) -> DataFrame:
 
 def line_gutters(words: DataFrame, pages: DataFrame, least: float = 14.0) -> DataFrame:
     """(doc_id, page, gutter): the commonest place of wide gaps between neighbouring words of a line, if a third agrees."""
-    line = Window.partitionBy(*PAGE, "line").orderBy("wx0", "idx", "pos")
+    line = Window.partitionBy(*PAGE, "line").orderBy("wx0", "idx", "li", "pos")
     w = words.withColumn("line", F.bround(F.col("wy0") / 3.0)).withColumn("next", F.lead("wx0").over(line))
     gaps = w.filter(F.col("next") - F.col("wx1") >= least).select(*PAGE, ((F.col("next") + F.col("wx1")) / 2).alias("c"))
     gaps = gaps.withColumn("bucket", F.bround(F.col("c") / 8) * 8)
@@ -229,5 +229,5 @@ def reading_order(words: DataFrame, gutter: DataFrame) -> DataFrame:
     w = words.join(gutter, PAGE, "left").withColumn("line", F.bround(F.col("wy0") / 3.0).cast("int"))
     g = F.col("gutter")
     side = F.when(g.isNull() | (F.col("wx1") <= g + 2), 0).when(F.col("wx0") >= g - 2, 1).when(g - F.col("wx0") > F.col("wx1") - g, 0).otherwise(1)
-    frag = w.withColumn("side", side).groupBy(*PAGE, "side", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wx0", "idx", "pos", "word"))), lambda s: s.word), " ").alias("text"))
+    frag = w.withColumn("side", side).groupBy(*PAGE, "side", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wx0", "idx", "li", "pos", "word"))), lambda s: s.word), " ").alias("text"))
     return frag.withColumn("fragment", F.row_number().over(Window.partitionBy(*PAGE).orderBy("side", "line")) - 1)
