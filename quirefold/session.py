@@ -36,11 +36,13 @@ def session(cores: int | str = 8, app: str = "quirefold", **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: the session's spark.checkpoint.dir, or a temporary one where that is unset and all runs on this machine."""
     global _local_dir
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="quirefold-")
     spark.sparkContext.setCheckpointDir(_local_dir)
