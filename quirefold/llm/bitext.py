@@ -38,16 +38,21 @@ GAIN = 0.1
 
 def sentences(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair, doc_a, doc_b, side, lang, other, direction, doc_id, page, idx, sent, sid, pos, text): sentences of both documents of
-    each pair; sid numbers the sentences of a document, pos is the relative place. Keys are numbers, as they are shuffled often. Null and blank sentences keep their number but give no row."""
+    each pair; sid numbers the sentences of a document, pos is the relative place. Keys are numbers, as they are shuffled often. Null and blank sentences keep their number but give no
+    row, elements without page none."""
     p = materialize(pairs.dropna(subset=["doc_a", "doc_b"]).dropDuplicates(["doc_a", "doc_b"]).withColumn("pair", F.monotonically_increasing_id()), "p2-pairs")
     side = lambda s: p.select("pair", "doc_a", "doc_b", F.lit(s).alias("side"), F.coalesce(f"lang_{s}", F.lit("")).alias("lang"), F.coalesce("lang_b" if s == "a" else "lang_a", F.lit("")).alias("other"), F.col(f"doc_{s}").alias("doc_id"))
     both = side("a").unionByName(side("b"))
     rows = elements.filter(F.size("sentences") > 0).select("doc_id", "page", "idx", "sentences")
     mine = join_hot(rows, both, ["doc_id"], salt_from=["page", "idx"]).dropDuplicates(["pair", "side", "page", "idx"])
     out = mine.select("pair", "doc_a", "doc_b", "side", "lang", "other", "doc_id", "page", "idx", F.posexplode("sentences").alias("sent", "text")).filter(F.trim("text") != "")
-    place = Window.partitionBy("pair", "side")
-    numbered = out.withColumn("sid", F.row_number().over(place.orderBy("page", "idx", "sent")))
-    return numbered.withColumn("pos", (F.col("sid") / F.count("*").over(place)).cast("float")).withColumn("direction", F.xxhash64("lang", "other"))
+    # numbers run over pages first, so that a long document is no single window
+    side_order = Window.partitionBy("pair", "side")
+    before = F.sum("n").over(side_order.orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = out.groupBy("pair", "side", "page").agg(F.count("*").alias("n")).withColumns({"before": F.coalesce(before, F.lit(0)), "all": F.sum("n").over(side_order)}).drop("n")
+    on_page = out.withColumn("nth", F.row_number().over(Window.partitionBy("pair", "side", "page").orderBy("idx", "sent")))
+    numbered = on_page.join(offsets, ["pair", "side", "page"]).withColumn("sid", (F.col("before") + F.col("nth")).cast("int"))
+    return numbered.withColumn("pos", (F.col("sid") / F.col("all")).cast("float")).withColumn("direction", F.xxhash64("lang", "other")).drop("before", "all", "nth")
 
 
 def terms(sents: DataFrame) -> DataFrame:
