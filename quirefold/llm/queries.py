@@ -102,6 +102,10 @@ a AS (SELECT sid, doc_id, page, idx, regexp_extract_all(lower(s), '[a-z](?:[a-z'
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1 + "SELECT DISTINCT doc_id, page, idx, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (source, k)",
+        "p1_cleaned": P1
+        + """, g AS (SELECT doc_id, page, idx, list(DISTINCT line_no) AS l FROM k JOIN f USING (source, k) GROUP BY 1, 2, 3), e AS (SELECT DISTINCT ON (doc_id, page, idx) doc_id, page, idx, text FROM elements)
+SELECT e.doc_id, e.page, e.idx, CASE WHEN l IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(l, i - 1)), chr(10)) END AS text
+FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.page = e.page AND g.idx = e.idx""",
         "p5_found": WORDS
         + """, w AS (SELECT unnest(ws) AS word, doc_id, page, idx FROM a), k AS (SELECT word, count(DISTINCT (doc_id, page, idx)) AS n FROM w GROUP BY 1),
 d AS (SELECT DISTINCT lower(trim(word, ' ' || chr(9) || chr(10) || chr(13))) AS word FROM dictionary WHERE trim(word, ' ' || chr(9) || chr(10) || chr(13)) <> '')
