@@ -112,6 +112,13 @@ def test_gaps_inside_quotes():
     assert segment.labels("A b. C d. E", ["A b.", "C d. E"], segment.gaps("A b. C d. E")) == [1, 0, 1]
 
 
+@pytest.mark.parametrize("text", ["水库仍然充足……“水库在哪里？”", "水库仍然充足……《果园》是86年出版的。", "水库仍然充足……Brefuck表明不同。", "他说“充足”……1853年，货币削弱。"])
+def test_gap_without_blank(text):
+    at = text.index("……") + 2
+    assert (at, 0) in [(g[0], g[1]) for g in segment.gaps(text)]
+    assert not [g for g in segment.gaps("版本3.5很好 e.g.fine") if g[1] == 0]
+
+
 # --- bilingual documents ---
 
 EN = ["The harvest follows the law in {p}.", "The council delays the price in {p}.", "The market reaches the school in {p}.", "The bridge limits the water in {p}."]
