@@ -9,8 +9,9 @@ the next. At the end mutual best spans are selected: a sentence also takes the n
 the best and which fit into it beside the partner, so that merged sentences pair with each of their counterparts.
 
 All joins have the document pair or a term and language as key; documents are small beside the collection, and a term that
-stands in many concepts is spread over them by partial sums. Terms in more than COMMON of a language's sentences have no
-weight of their own and are left out of joins, so that no term joins a large part of all sentences with each other.
+stands in many concepts is spread over them by partial sums. Terms count by their weight alone, however frequent, and all
+translations above the least cosine are kept. A term of one document meets the other document's sentences as one list, so
+that what is shuffled grows with terms, and only the lists with the pairs of sentences.
 """
 
 from __future__ import annotations
@@ -19,15 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.session import join_hot, materialize, small
 
-#: Terms in a larger share of a language's sentences don't link sentences.
-COMMON = 0.12
-#: Translations kept of a term, the least cosine of their concept vectors, and their least share of the best one's.
-TRANSLATIONS, LEAST_COSINE, LEAST_RELATIVE = 6, 0.12, 0.35
+#: Least cosine of the concept vectors of translations.
+LEAST_COSINE = 0.12
 #: Pairs of sentences less similar than this are not ranked.
 FAINT = 0.08
 #: Least similarity and least coverage of an accepted pair; rounds of concepts.
@@ -67,8 +67,7 @@ def terms(sents: DataFrame) -> DataFrame:
 def _weighted(t: DataFrame, n_sents: DataFrame) -> DataFrame:
     """Terms with weight idf over the sentences of their language, and the sentence's sum of weights."""
     df = t.groupBy("lang", "term").agg(F.count("*").alias("df"))
-    idf = df.join(small(n_sents), "lang").filter(F.col("df") <= F.greatest(F.lit(8), F.lit(COMMON) * F.col("n")))
-    idf = idf.select("lang", "term", F.log((F.col("n") + 1) / F.col("df")).cast("float").alias("w"))
+    idf = df.join(small(n_sents), "lang").select("lang", "term", F.log((F.col("n") + 1) / F.col("df")).cast("float").alias("w"))
     weighted = join_hot(t, idf, ["lang", "term"], salt_from=["pair", "sid"])
     return weighted.withColumn("total", F.sum("w").over(Window.partitionBy("pair", "side", "sid")).cast("float"))
 
@@ -80,13 +79,16 @@ def _score(a: DataFrame, b: DataFrame, lexicon: DataFrame | None) -> DataFrame:
     if lexicon is not None:
         translated = join_hot(a.drop("as_term"), lexicon, ["direction", "term"], salt_from=["pair", "sid"])
         left = left.unionByName(translated.select(*left.columns))
-    right = b.select("pair", F.col("sid").alias("sid_b"), F.col("term").alias("as_term"), F.col("w").alias("w_b"), F.col("total").alias("total_b"), F.col("pos").alias("pos_b"))
+    place = F.struct(F.col("sid").alias("sid_b"), F.col("total").alias("total_b"), F.col("pos").alias("pos_b"))
+    listed = b.groupBy("pair", F.col("term").alias("as_term")).agg(F.first("w").alias("w_b"), F.collect_list(place).alias("at"))
+    right = listed.select("pair", "as_term", "w_b", *[F.col(f"at.{c}").alias(c) for c in _LISTS])
     hits = left.join(right, ["pair", "as_term"])
     near = hits.repartition("pair", "sid").sortWithinPartitions("pair", "sid")
     return near.select(*_HITS).mapInArrow(_cells, _CELLS)
 
 
-_HITS = ["pair", "sid", "sid_b", "term", "as_term", "alike", "w", "w_b", "total", "total_b", "pos", "pos_b"]
+_LISTS = ["sid_b", "total_b", "pos_b"]
+_HITS = ["pair", "sid", "term", "as_term", "alike", "w", "w_b", "total", "pos", *_LISTS]
 _HIT = "array<struct<t:bigint,alike:float,w:float>>"
 _CELLS = f"pair bigint, sid_a int, sid_b int, total float, total_b float, hits_a {_HIT}, hits_b {_HIT}, cover_a double, cover_b double, sim double, far double"
 #: Hits scored at once, at least; the terms of one sentence stay together.
@@ -97,20 +99,43 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches joined to chunks that end where a sentence of a does."""
     held: list[pa.RecordBatch] = []
     n = 0
-    for b in batches:
+    for b in (p for whole in batches for p in _pieces(whole)):
         held.append(b)
-        n += len(b)
+        n += _size(b)
         if n >= CHUNK:
             t = pa.Table.from_batches(held)
             pair, sid = t["pair"].to_numpy(), t["sid"].to_numpy()
             cut = np.flatnonzero((pair[1:] != pair[:-1]) | (sid[1:] != sid[:-1]))
             if len(cut):
                 yield t.slice(0, cut[-1] + 1)
-                held, n = t.slice(cut[-1] + 1).to_batches(), len(t) - cut[-1] - 1
+                held = t.slice(cut[-1] + 1).to_batches()
+                n = sum(_size(x) for x in held)
     if n:
         yield pa.Table.from_batches(held)
 
 
+def _size(b: pa.RecordBatch) -> int:
+    return len(b["sid_b"].flatten())
+
+
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about CHUNK hits, as a list may be long."""
+    ends = np.cumsum(np.diff(b["sid_b"].offsets.to_numpy()))
+    at = 0
+    while at < len(b):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
+def _unlisted(t: pa.Table) -> dict[str, np.ndarray]:
+    """Columns with a row for each hit."""
+    flat = {c: t[c].combine_chunks() for c in _LISTS}
+    times = pc.list_value_length(flat["sid_b"]).to_numpy(zero_copy_only=False)
+    once = {c: np.repeat(t[c].to_numpy(), times) for c in _HITS if c not in _LISTS}
+    return once | {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in flat.items()}
+
+
 def _best(cell: np.ndarray, term: np.ndarray, alike: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
     """Per cell (numbered in order): the weight of its terms times their best likeness, and the terms themselves."""
     order = np.lexsort((-alike, term, cell))
@@ -125,7 +150,7 @@ def _best(cell: np.ndarray, term: np.ndarray, alike: np.ndarray, w: np.ndarray)
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _chunks(batches):
-        x = {c: t[c].to_numpy() for c in _HITS}
+        x = _unlisted(t)
         new = np.r_[True, (x["pair"][1:] != x["pair"][:-1]) | (x["sid"][1:] != x["sid"][:-1])]
         key = np.cumsum(new).astype(np.int64) * (1 << 31) + x["sid_b"]
         _, at, cell = np.unique(key, return_index=True, return_inverse=True)
@@ -148,7 +173,7 @@ def _ranked(scored: DataFrame) -> DataFrame:
 
 
 def _lexicon(concepts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(direction, term, as_term, alike): cosine of the concept vectors of terms, best translations of each term."""
+    """(direction, term, as_term, alike): cosine of the concept vectors of terms, all translations of each term."""
     va = concepts.join(a.select("pair", F.col("sid").alias("sid_a"), "direction", "term"), ["pair", "sid_a"])
     vb = concepts.join(b.select("pair", F.col("sid").alias("sid_b"), F.col("term").alias("as_term")), ["pair", "sid_b"])
     both = va.groupBy("pair", "sid_a", "sid_b", "direction").agg(F.collect_list("term").alias("ta")).join(vb.groupBy("pair", "sid_a", "sid_b").agg(F.collect_list("as_term").alias("tb")), ["pair", "sid_a", "sid_b"])
@@ -159,9 +184,7 @@ def _lexicon(concepts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     scored = together.filter("n >= 2").join(na, ["direction", "term"]).join(nb, ["direction", "as_term"])
     scored = scored.withColumn("alike", (F.col("n") - 0.7) / F.sqrt(F.col("na") * F.col("nb"))).filter(F.col("alike") >= LEAST_COSINE)
     mine = Window.partitionBy("direction", "term")
-    best = scored.withColumn("k", F.row_number().over(mine.orderBy(F.col("alike").desc(), "as_term"))).filter(F.col("k") <= TRANSLATIONS)
-    top = best.withColumn("top", F.max("alike").over(mine)).filter(F.col("alike") >= LEAST_RELATIVE * F.col("top"))
-    return top.select("direction", "term", "as_term", F.least(F.lit(1.0), F.col("alike") / F.greatest(F.col("top"), F.lit(0.5))).cast("float").alias("alike"))
+    return scored.withColumn("top", F.max("alike").over(mine)).select("direction", "term", "as_term", F.least(F.lit(1.0), F.col("alike") / F.greatest(F.col("top"), F.lit(0.5))).cast("float").alias("alike"))
 
 
 def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

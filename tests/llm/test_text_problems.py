@@ -157,6 +157,16 @@ def test_alignment_edges(spark, make_elements):
     assert bitext.aligned_sentences(make_elements(), p).count() == 0
 
 
+def test_all_translations_and_frequent_terms(spark):
+    side = lambda ts: spark.createDataFrame([(1, s, 7, t) for s in range(3) for t in ts], "pair bigint, sid int, direction bigint, term bigint")
+    concepts = spark.createDataFrame([(1, s, s) for s in range(3)], "pair bigint, sid_a int, sid_b int")
+    got = bitext._lexicon(concepts, side([1]), side(range(10, 22))).collect()
+    assert {r.as_term for r in got if r.term == 1} == set(range(10, 22))
+    t = spark.createDataFrame([(1, "a", "en", s, x) for s in range(40) for x in (1, 100 + s)], "pair bigint, side string, lang string, sid int, term bigint")
+    kept = bitext._weighted(t, spark.createDataFrame([("en", 40)], "lang string, n bigint")).filter("term = 1").collect()
+    assert len(kept) == 40 and all(r.w > 0 for r in kept)
+
+
 # --- scanned pages ---
 
 
