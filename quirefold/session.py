@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if the planner proves it to be no larger than this.
@@ -76,17 +76,31 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner
     return left.withColumn("_salt", salt).join(many, [*on, "_salt"], how).drop("_salt")
 
 
-def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
-    """At most `most` rows of df with the largest counts, by a threshold: a histogram of counts finds it, so that no task
-    holds more than the result. Rows of the count at the threshold come in whole or not at all, unless that is the largest."""
-    cap = 100_000
-    level = F.least(F.floor(count), F.lit(cap))
-    cells = sorted(df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True)
+def least_frequent(df: DataFrame, count: str, most: int) -> tuple[int | None, bool]:
+    """(least whole part of a count such that at most `most` rows of df reach it, or None if the largest count alone has more;
+    whether all rows do). A histogram of counts finds it."""
+    cells = sorted(df.groupBy(_level(count).alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True)
     taken, least = 0, None
     for at, n in cells:
         if taken + n > most:
-            break
+            return least, False
         taken, least = taken + n, at
+    return least, True
+
+
+def _level(count: str) -> Column:
+    return F.least(F.floor(count), F.lit(100_000))
+
+
+def frequent(count: str, least: int | None) -> Column:
+    """Whether a row reaches the level that least_frequent found."""
+    return F.lit(False) if least is None else _level(count) >= least
+
+
+def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """At most `most` rows of df with the largest counts, by a threshold: a histogram of counts finds it, so that no task
+    holds more than the result. Rows of the count at the threshold come in whole or not at all, unless that is the largest."""
+    least, _ = least_frequent(df, count, most)
     if least is None:  # the largest count alone has more rows
-        return df.filter(F.col(count) >= (cells[0][0] if cells else 0)).orderBy(F.col(count).desc(), *[c for c in df.columns if c != count]).limit(most)
-    return df.filter(level >= least)
+        return df.orderBy(F.col(count).desc(), *[c for c in df.columns if c != count]).limit(most)
+    return df.filter(frequent(count, least))

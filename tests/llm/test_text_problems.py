@@ -119,6 +119,26 @@ def test_gap_without_blank(text):
     assert not [g for g in segment.gaps("版本3.5很好 e.g.fine") if g[1] == 0]
 
 
+def test_boundaries_do_not_depend_on_what_tasks_hold(spark, make_elements, monkeypatch):
+    texts = [t for t, _ in made(9, 60)] + ["Mr. Low met Dr. Orm. Dr. Orm sold etc. to us. Then Dr. Low left."] * 40
+    e = make_elements(*[{"doc_id": 1, "idx": i, "text": t} for i, t in enumerate(texts)], *[{"doc_id": 2, "idx": i, "text": "Prof. Um rose. Etc. Ah.", "sentences": ["Prof. Um rose.", "Etc. Ah."]} for i in range(3)])
+
+    def model():
+        """All that a task would know, and what it cuts."""
+        cut = segment.to_cut(e).cache()
+        m, rest = segment.train(e, cut)
+        known = {("O", k): v for k, v in m.odds.items()} | {k: v[:2] for k, v in (m.ends | m.c).items() if k[0] != "I"}
+        known |= {(r.level, r["name"]): r.b if r.level == "O" else (r.b, r.n) for r in (rest.collect() if rest is not None else [])}
+        return known, m.rate, len(m.ends) + len(m.c), sorted((r.idx, r.sent_end) for r in segment.sentence_ends(e).collect())
+
+    want, rate, most, ends = model()
+    for n in (0, 60):
+        monkeypatch.setattr(segment, "NGRAMS", n)
+        got, other, held, cut = model()
+        assert held < most and cut == ends and other == pytest.approx(rate, abs=1e-6)
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+
+
 # --- bilingual documents ---
 
 EN = ["The harvest follows the law in {p}.", "The council delays the price in {p}.", "The market reaches the school in {p}.", "The bridge limits the water in {p}."]
