@@ -113,9 +113,23 @@ def estimated_heights(elements: DataFrame, translations: DataFrame) -> DataFrame
     return e.groupBy(*KEY).agg(F.sum(own + zh).alias("lines"), (F.sum(high) * 1.02 + 1.0).alias("est_height"))
 
 
+def widened(elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """elements with text boxes widened toward the right edge of their column, where there is room: those of size 13 or more,
+    and those whose text needs more than its width. To be taken before heights and sides."""
+    edges = columns(elements, pages).select(*KEY, "column_right").dropDuplicates(KEY)
+    e = elements.join(edges, KEY, "left")
+    x0, size = F.col("bbox.x0"), F.coalesce(F.when(F.col("size") != 0, F.col("size")), F.lit(11.0))
+    natural, room = F.greatest(F.col("bbox.x1") - x0, F.lit(4.0)), F.col("column_right") - x0
+    need = F.coalesce(T.text_advance(F.coalesce("text", F.lit("")), size), F.lit(0.0))
+    wide = (F.col("kind") == "text") & (room > natural) & ((need > natural * 1.02) | (size >= 13.0))
+    x1 = F.when(wide, x0 + F.least(room, F.greatest(natural, need * 1.02))).otherwise(F.col("bbox.x1"))
+    return e.withColumn("bbox", F.when(F.col("bbox").isNotNull(), F.col("bbox").withField("x1", x1))).select(*elements.columns)
+
+
 def relayout(elements: DataFrame, pages: DataFrame, translations: DataFrame) -> DataFrame:
     """(doc_id, page, idx, side, top, bottom): elements pushed down so that translations fit, each column on its own cursor
-    and full-width elements across both. Blank elements and skipped scans take no room. One fold per page."""
+    and full-width elements across both. Blank elements and skipped scans take no room. One fold per page. Boxes are taken
+    as they are; `widened` gives those of the reference."""
     marks = scan_marks(elements, pages).filter("skipped").select(*KEY, F.lit(True).alias("skipped"))
     e = boxes(elements).withColumn("blank", is_blank()).select(*KEY, "kind", "x0", "y0", "x1", "y1", "size", "blank")
     e = e.join(columns(elements, pages).select(*KEY, "side"), KEY).join(estimated_heights(elements, translations), KEY, "left").join(marks, KEY, "left")

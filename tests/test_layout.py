@@ -45,6 +45,20 @@ def test_pushdown_matches_cursors(two_columns, sizes, spark):
         assert got[i] == (pytest.approx(top), pytest.approx(cursor[side[i]]))
 
 
+def test_widened_boxes(make_elements, sizes, spark):
+    long = "Some words that need room. " * 3
+    made = [(36, 100, "text", 10.0, long), (36, 100, "text", 10.0, "ab"), (36, 100, "text", 14.0, "A Head Line Over All"), (36, 470, "text", 10.0, long * 9), (36, 100, "image", 14.0, None), (36, 100, "text", None, None)]
+    e = make_elements(*[{"doc_id": 1, "idx": i, "kind": k, "bbox": box(x0, 20 * i, x1, 20 * i + 12), "text": t, "size": z} for i, (x0, x1, k, z, t) in enumerate(made)], {"doc_id": 1, "idx": 9, "text": "no box"})
+    got = {r.idx: r.bbox and r.bbox.x1 for r in layout.widened(e, sizes).collect()}
+    need = {i: spark.range(1).select(layout.T.text_advance(layout.F.lit(made[i][4]), layout.F.lit(made[i][3]))).first()[0] for i in (0, 2)}
+    want = {i: 36 + min(432 - 36, max(64.0, need[i] * 1.02)) for i in (0, 2)}
+    assert got == {0: pytest.approx(want[0]), 1: 100.0, 2: pytest.approx(want[2]), 3: 470.0, 4: 100.0, 5: 100.0, 9: None}
+    assert want[0] > 100 and want[2] > 100
+    none = spark.createDataFrame([], "doc_id bigint, page int, idx int, segs array<string>, ingested_at timestamp")
+    bottom = lambda x: {r.idx: r.bottom - r.top for r in layout.relayout(x, sizes, none).collect()}
+    assert bottom(layout.widened(e, sizes))[0] < bottom(e)[0]
+
+
 def test_coverage_and_bands(make_elements, sizes):
     e = make_elements({"doc_id": 1, "bbox": box(0, 0, 10, 100), "text": "a"}, {"doc_id": 1, "bbox": box(0, 50, 10, 200), "text": "b"}, {"doc_id": 1, "bbox": box(0, 400, 10, 500), "text": "c"}, {"doc_id": 1, "kind": "image", "bbox": box(0, 0, 504, 696)})
     assert layout.coverage(e, sizes).first().covered == pytest.approx(300 / 696)
