@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -32,7 +33,7 @@ LEAST_COSINE = 0.12
 FAINT = 0.08
 #: Least similarity and least coverage of an accepted pair; rounds of concepts.
 LEAST_SIM, LEAST_COVER, ROUNDS = 0.3, 0.42, 3
-#: Share of a merged sentence that its second counterpart must cover beyond the first.
+#: Share of a merged sentence that a further counterpart must cover beyond those before.
 GAIN = 0.1
 
 
@@ -210,23 +211,40 @@ def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUND
 
 
 def _spans(scored: DataFrame, best: DataFrame) -> DataFrame:
-    """Mutual best pairs, and for merged sentences the counterpart beside the partner: a sentence without partner of its
-    own, of which the merged one is the best, and which covers a share GAIN of it that the partner doesn't."""
+    """Mutual best pairs, and for merged sentences the counterparts beside the partner: sentences without partner of their
+    own, of which the merged one is the best, each covering a share GAIN of it that those taken before don't."""
     found = best.select("pair", "sid_a", "sid_b", "sim")
     for one, many in (("a", "b"), ("b", "a")):
         host, guest = f"sid_{one}", f"sid_{many}"
-        partner = best.select("pair", host, F.transform(f"hits_{one}", lambda x: x.t).alias("had"), F.transform(f"hits_{one}", lambda x: x.alike).alias("had_alike"))
+        partner = best.select("pair", host, F.col(f"hits_{one}").alias("had"))
         free = scored.join(best.select("pair", guest), ["pair", guest], "left_anti")
         extra = free.filter((F.col(f"rank_{many}") == 1) & (F.col(f"cover_{many}") >= LEAST_COVER)).join(partner, ["pair", host])
-        had = lambda x: F.coalesce(F.try_element_at("had_alike", F.when(F.array_position("had", x.t) > 0, F.array_position("had", x.t)).cast("int")), F.lit(0.0))
-        more = F.aggregate(f"hits_{one}", F.lit(0.0), lambda acc, x: acc + x.w * F.greatest(F.lit(0.0), x.alike - had(x)))
-        gain = extra.withColumn("gain", more / F.col("total" if one == "a" else "total_b"))
-        pick = Window.partitionBy("pair", host).orderBy(F.col("gain").desc(), guest)
-        kept = gain.filter(F.col("gain") >= GAIN).withColumn("k", F.row_number().over(pick)).filter("k = 1")
+        rest = F.struct(F.col(guest).alias("guest"), F.col(f"hits_{one}").alias("hits"), "sim")
+        hosts = extra.groupBy("pair", F.col(host).alias("host")).agg(F.first("had").alias("had"), F.first("total" if one == "a" else "total_b").alias("total"), F.collect_list(rest).alias("rest"))
+        kept = hosts.mapInPandas(_further, "pair bigint, host int, guest int, sim double").withColumnsRenamed({"host": host, "guest": guest})
         found = found.unionByName(kept.select("pair", "sid_a", "sid_b", "sim"))
     return found.dropDuplicates(["pair", "sid_a", "sid_b"])
 
 
+def _further(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counterparts of merged sentences, the one with the largest gain first, until none reaches GAIN."""
+    for f in frames:
+        rows = []
+        for pair, host, first, total, rest in zip(f.pair, f.host, f.had, f.total, f.rest):
+            had = {h["t"]: h["alike"] for h in first}
+            left = {x["guest"]: x for x in rest}
+            while left:
+                gains = {g: sum(h["w"] * max(0.0, h["alike"] - had.get(h["t"], 0.0)) for h in x["hits"]) / total for g, x in left.items()}
+                g = min(gains, key=lambda k: (-gains[k], k))
+                if gains[g] < GAIN:
+                    break
+                x = left.pop(g)
+                rows.append((pair, host, g, x["sim"]))
+                for h in x["hits"]:
+                    had[h["t"]] = max(had.get(h["t"], 0.0), h["alike"])
+        yield pd.DataFrame(rows, columns=["pair", "host", "guest", "sim"])
+
+
 def _with_places(found: DataFrame, s: DataFrame) -> DataFrame:
     place = lambda side: s.filter(F.col("side") == side).select("pair", F.col("sid").alias(f"sid_{side}"), *([F.col("doc_a"), F.col("doc_b")] if side == "a" else []), *[F.col(c).alias(f"{c}_{side}") for c in ("page", "idx", "sent")])
     return found.join(place("a"), ["pair", "sid_a"]).join(place("b"), ["pair", "sid_b"]).select("doc_a", "page_a", "idx_a", "sent_a", "doc_b", "page_b", "idx_b", "sent_b", F.round("sim", 4).alias("sim"))

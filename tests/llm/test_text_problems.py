@@ -187,6 +187,15 @@ def test_all_translations_and_frequent_terms(spark):
     assert len(kept) == 40 and all(r.w > 0 for r in kept)
 
 
+def test_merged_sentence_keeps_all_counterparts(spark):
+    hit = lambda *ts: [(t, 1.0, 1.0) for t in ts]
+    rows = [(1, a, 1, 1.0, 4.0, hit(t), hit(t), 1.0, 0.25, 0.5, 1, a) for a, t in ((1, 11), (2, 12), (3, 13), (4, 14), (5, 14))]
+    array = "array<struct<t:bigint,alike:float,w:float>>"
+    scored = spark.createDataFrame(rows, f"pair bigint, sid_a int, sid_b int, total float, total_b float, hits_a {array}, hits_b {array}, cover_a double, cover_b double, sim double, rank_a int, rank_b int")
+    got = bitext._spans(scored, scored.filter("sid_a = 1")).collect()
+    assert {(r.sid_a, r.sid_b) for r in got} == {(a, 1) for a in (1, 2, 3, 4)} and len(got) == 4
+
+
 # --- scanned pages ---
 
 
