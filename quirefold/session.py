@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if the planner proves it to be no larger than this.
 BROADCAST_LIMIT = 16 << 20
 
-_local_dir: str | None = None
-
 
 def session(cores: int | str = 8, app: str = "quirefold", **conf: str) -> SparkSession:
     """A local session with the settings that tests and benchmarks use."""
@@ -36,24 +34,50 @@ def session(cores: int | str = 8, app: str = "quirefold", **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or a temporary one where that is unset and all runs on this machine."""
-    global _local_dir
+    """The folder that all executors share: the session's spark.checkpoint.dir; where that is unset and all runs in this process, a folder of the warehouse."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="quirefold-")
-    spark.sparkContext.setCheckpointDir(_local_dir)
-    return _local_dir
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_between"
+
+
+#: Tables written by this process and not yet discarded.
+_written: dict[str, SparkSession] = {}
 
 
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage is cut, and a lost executor costs nothing."""
+    """Write df to the shared folder and read it back: the lineage is cut, and a lost executor costs nothing. The table is
+    removed by discard, or when the process ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialize that no later result reads."""
+    for t in tables:
+        path = getattr(t, "_path", None)
+        if path in _written:
+            _remove(path, _written.pop(path))
+
+
+def _remove(path: str, spark: SparkSession) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            _remove(path, spark)
+        except Exception:  # the session is gone; the folder is the cluster's to clean
+            return
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -61,6 +85,19 @@ def planned_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def table_bytes(table: DataFrame) -> int:
+    """Bytes that a written table has in memory, by its number of rows and the width of its columns; strings and arrays count
+    as ten times what the files have."""
+    fixed = sum(f.dataType.jsonValue() in ("integer", "long", "float", "double", "boolean", "date", "timestamp", "short", "byte") for f in table.schema)
+    rows = table.count()
+    return rows * (24 + 8 * len(table.columns)) + (0 if fixed == len(table.columns) else 10 * planned_bytes(table))
+
+
+def is_small(table: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
+    """Whether a written table, counted, is small enough to be broadcast."""
+    return table_bytes(table) <= limit
+
+
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """df with a broadcast hint if the planner's estimate proves it small, else as it is (shuffled join, skew left to AQE)."""
     return F.broadcast(df) if planned_bytes(df) <= limit else df
