@@ -1,59 +1,59 @@
 """Problem 2: sentence alignment in documents that translate each other.
 
 Concepts are pairs of passages, one in each document of a paired-document row, that anchor each other. A term's vector has
-the concepts it occurs in; the similarity of two terms of different languages is the cosine of their vectors, and a
-sentence is represented by the similarities of its terms. Round 0 knows no concept: names, numbers and words that both
-languages write alike anchor the first passages. Each round joins term vectors over the concepts of all documents in SQL,
-scores sentence pairs by sparse cosine joins inside each document pair, and makes the mutual best pairs the concepts of
-the next. At the end mutual best spans are selected: a sentence also takes the neighbours of its partner for which it is
-the best and which fit into it beside the partner, so that merged sentences pair with each of their counterparts.
-
-All joins have the document pair or a term and language as key; documents are small beside the collection, and a term that
-stands in many concepts is spread over them by partial sums. Terms count by their weight alone, however frequent, and all
-translations above the least cosine are kept. A term of one document meets the other document's sentences as one list, so
-that what is shuffled grows with terms, and only the lists with the pairs of sentences.
+the concepts it occurs in; the similarity of two terms of different languages is the cosine of their vectors. A sentence is
+represented by the similarities of its terms: one of the first document has a vector over the terms of the other language,
+one of the second over its own terms, and the likeness of two sentences is the cosine of these sparse vectors, a join and a
+sum in SQL. Round 0 knows no concept: names, numbers and words that both languages write alike anchor the first passages.
+Each round makes the mutual best pairs the concepts of the next. At the end mutual best spans are selected: a sentence also
+takes further counterparts while the window of all of them together is nearer to it than the window without.
+
+Blocks of at most BLOCK sentences of the first document, with the second document's sentences, are the unit of work: joins and
+sums of a round keep the partitioning by block, so that only the terms are shuffled, and a long pair is many blocks. Pairs
+of terms that can't reach the least cosine, by their numbers of concepts, are left out before the shuffle; no others are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.session import join_hot, materialize, small
+from quirefold.session import discard, is_small, join_hot, materialize
 
 #: Least cosine of the concept vectors of translations.
 LEAST_COSINE = 0.12
-#: Pairs of sentences less similar than this are not ranked.
-FAINT = 0.08
-#: Least similarity and least coverage of an accepted pair; rounds of concepts.
-LEAST_SIM, LEAST_COVER, ROUNDS = 0.3, 0.42, 3
-#: Share of a merged sentence that a further counterpart must cover beyond those before.
-GAIN = 0.1
+#: Least cosine of sentences that anchor concepts, in round 0 and later; of an accepted pair; of a further counterpart of a merged sentence.
+FIRST_SIM, ANCHOR_SIM, LEAST_SIM, GUEST_SIM = 0.05, 0.2, 0.27, 0.15
+#: Rounds of concepts; times by which an anchor must be better than the next; share of its cosine that a window must keep when it grows.
+ROUNDS, CLEAR, GAIN = 3, 1.1, 0.99
+#: Sentences of the first document in a block.
+BLOCK = 2_000
+PLACE = ["pair", "block"]
 
 
 def sentences(elements: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair, doc_a, doc_b, side, lang, other, direction, doc_id, page, idx, sent, sid, pos, text): sentences of both documents of
-    each pair; sid numbers the sentences of a document, pos is the relative place. Keys are numbers, as they are shuffled often. Null and blank sentences keep their number but give no
-    row, elements without page none."""
-    p = materialize(pairs.dropna(subset=["doc_a", "doc_b"]).dropDuplicates(["doc_a", "doc_b"]).withColumn("pair", F.monotonically_increasing_id()), "p2-pairs")
-    side = lambda s: p.select("pair", "doc_a", "doc_b", F.lit(s).alias("side"), F.coalesce(f"lang_{s}", F.lit("")).alias("lang"), F.coalesce("lang_b" if s == "a" else "lang_a", F.lit("")).alias("other"), F.col(f"doc_{s}").alias("doc_id"))
+    """(pair, doc_a, doc_b, side, lang, direction, page, idx, sent, sid, pos, blocks, text): sentences of both documents of each pair;
+    sid numbers the sentences of a document, pos is the relative place, blocks the number of blocks of the pair. Keys are
+    numbers, as they are shuffled often. Null and blank sentences keep their number but give no row, elements without page none."""
+    p = pairs.dropna(subset=["doc_a", "doc_b"]).dropDuplicates(["doc_a", "doc_b"]).select("doc_a", "doc_b", *[F.coalesce(c, F.lit("")).alias(c) for c in ("lang_a", "lang_b")])
+    p = materialize(p.withColumn("pair", F.monotonically_increasing_id()), "p2-pairs")
+    # pairs of languages are few, whatever the size of the collection
+    ways = materialize(p.select("lang_a", "lang_b").distinct().coalesce(1).withColumn("direction", F.monotonically_increasing_id().cast("int")), "p2-directions")
+    p = p.join(F.broadcast(ways), ["lang_a", "lang_b"])
+    side = lambda s: p.select("pair", "doc_a", "doc_b", "direction", F.lit(s).alias("side"), F.col(f"lang_{s}").alias("lang"), F.col(f"doc_{s}").alias("doc_id"))
     both = side("a").unionByName(side("b"))
-    rows = elements.filter(F.size("sentences") > 0).select("doc_id", "page", "idx", "sentences")
-    mine = join_hot(rows, both, ["doc_id"], salt_from=["page", "idx"]).dropDuplicates(["pair", "side", "page", "idx"])
-    out = mine.select("pair", "doc_a", "doc_b", "side", "lang", "other", "doc_id", "page", "idx", F.posexplode("sentences").alias("sent", "text")).filter(F.trim("text") != "")
+    rows = elements.filter((F.size("sentences") > 0) & F.col("page").isNotNull()).select("doc_id", "page", "idx", "sentences")
+    mine = join_hot(rows, both, ["doc_id"], salt_from=["page", "idx"]).dropDuplicates(["pair", "side", "page", "idx"]).drop("doc_id")
+    out = mine.select(*[c for c in mine.columns if c != "sentences"], F.posexplode("sentences").alias("sent", "text")).filter(F.trim("text") != "")
     # numbers run over pages first, so that a long document is no single window
     side_order = Window.partitionBy("pair", "side")
     before = F.sum("n").over(side_order.orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
     offsets = out.groupBy("pair", "side", "page").agg(F.count("*").alias("n")).withColumns({"before": F.coalesce(before, F.lit(0)), "all": F.sum("n").over(side_order)}).drop("n")
+    sizes = offsets.filter("side = 'a'").groupBy("pair").agg(F.ceil(F.max("all") / BLOCK).cast("int").alias("blocks"))
+    offsets = materialize(offsets.join(sizes, "pair", "left").fillna(1, ["blocks"]), "p2-offsets")
     on_page = out.withColumn("nth", F.row_number().over(Window.partitionBy("pair", "side", "page").orderBy("idx", "sent")))
     numbered = on_page.join(offsets, ["pair", "side", "page"]).withColumn("sid", (F.col("before") + F.col("nth")).cast("int"))
-    return numbered.withColumn("pos", (F.col("sid") / F.col("all")).cast("float")).withColumn("direction", F.xxhash64("lang", "other")).drop("before", "all", "nth")
+    return numbered.withColumn("pos", (F.col("sid") / F.col("all")).cast("float")).drop("before", "all", "nth")
 
 
 def terms(sents: DataFrame) -> DataFrame:
@@ -62,187 +62,152 @@ def terms(sents: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]][\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]*"), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]+"), F.lit(0))
     grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
-    return sents.withColumn("term", F.explode(F.array_distinct(F.concat(words, grams)))).withColumn("term", F.xxhash64("term")).drop("text")
+    return sents.withColumn("term", F.explode(F.array_distinct(F.concat(words, grams)))).drop("text")
+
+
+def _weighted(t: DataFrame, sents: DataFrame) -> DataFrame:
+    """Terms by number, with weight idf over the sentences of their language."""
+    n = sents.groupBy("lang").agg(F.count("*").alias("n"))
+    df = t.groupBy("term", "lang").agg(F.count("*").alias("df")).join(F.broadcast(n), "lang")  # a row for each language
+    listed = df.groupBy("term").agg(F.collect_list(F.struct("lang", F.log((F.col("n") + 1) / F.col("df")).cast("float").alias("w"))).alias("by"))
+    vocabulary = materialize(listed.select("term", F.monotonically_increasing_id().alias("id"), "by"), "p2-vocabulary").select("term", "id", F.explode("by").alias("x"))
+    weights = vocabulary.select("term", "id", "x.lang", "x.w")
+    return join_hot(t, weights, ["lang", "term"], salt_from=["pair", "sid"]).drop("term", "lang").withColumnRenamed("id", "term")
 
 
-def _weighted(t: DataFrame, n_sents: DataFrame) -> DataFrame:
-    """Terms with weight idf over the sentences of their language, and the sentence's sum of weights."""
-    df = t.groupBy("lang", "term").agg(F.count("*").alias("df"))
-    idf = df.join(small(n_sents), "lang").select("lang", "term", F.log((F.col("n") + 1) / F.col("df")).cast("float").alias("w"))
-    weighted = join_hot(t, idf, ["lang", "term"], salt_from=["pair", "sid"])
-    return weighted.withColumn("total", F.sum("w").over(Window.partitionBy("pair", "side", "sid")).cast("float"))
+def _blocks(w: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms of sentences of a by block, and those of b once for each block of their pair."""
+    a = w.filter("side = 'a'").select("pair", F.floor((F.col("sid") - 1) / BLOCK).cast("int").alias("block"), "sid", "term", "w", "pos", "direction")
+    b = w.filter("side = 'b'").select("pair", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", "term", "w", "pos", "direction")
+    return a, b
 
 
-def _score(a: DataFrame, b: DataFrame, lexicon: DataFrame | None) -> DataFrame:
-    """Sentence pairs of one document pair that share a concept: (pair, sid_a, sid_b, total, total_b, hits_a, hits_b, cover_a,
-    cover_b, sim, far). hits_a are the terms of a with the likeness of their best match in b, and hits_b the reverse."""
-    left = a.select("pair", "sid", "term", "w", "total", "pos", F.col("term").alias("as_term"), F.lit(1.0).cast("float").alias("alike"))
+def _translated(a: DataFrame, lexicon: DataFrame | None, held: bool) -> DataFrame:
+    """(pair, block, sid, pos, term, v): sentences of a over the terms of the other language; a term written alike counts whole."""
+    own = a.select(*PLACE, "sid", "pos", "term", F.col("w").cast("double").alias("v"))
     if lexicon is not None:
-        translated = join_hot(a.drop("as_term"), lexicon, ["direction", "term"], salt_from=["pair", "sid"])
-        left = left.unionByName(translated.select(*left.columns))
-    place = F.struct(F.col("sid").alias("sid_b"), F.col("total").alias("total_b"), F.col("pos").alias("pos_b"))
-    listed = b.groupBy("pair", F.col("term").alias("as_term")).agg(F.first("w").alias("w_b"), F.collect_list(place).alias("at"))
-    right = listed.select("pair", "as_term", "w_b", *[F.col(f"at.{c}").alias(c) for c in _LISTS])
-    hits = left.join(right, ["pair", "as_term"])
-    near = hits.repartition("pair", "sid").sortWithinPartitions("pair", "sid")
-    return near.select(*_HITS).mapInArrow(_cells, _CELLS)
-
-
-_LISTS = ["sid_b", "total_b", "pos_b"]
-_HITS = ["pair", "sid", "term", "as_term", "alike", "w", "w_b", "total", "pos", *_LISTS]
-_HIT = "array<struct<t:bigint,alike:float,w:float>>"
-_CELLS = f"pair bigint, sid_a int, sid_b int, total float, total_b float, hits_a {_HIT}, hits_b {_HIT}, cover_a double, cover_b double, sim double, far double"
-#: Hits scored at once, at least; the terms of one sentence stay together.
-CHUNK = 300_000
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches joined to chunks that end where a sentence of a does."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for b in (p for whole in batches for p in _pieces(whole)):
-        held.append(b)
-        n += _size(b)
-        if n >= CHUNK:
-            t = pa.Table.from_batches(held)
-            pair, sid = t["pair"].to_numpy(), t["sid"].to_numpy()
-            cut = np.flatnonzero((pair[1:] != pair[:-1]) | (sid[1:] != sid[:-1]))
-            if len(cut):
-                yield t.slice(0, cut[-1] + 1)
-                held = t.slice(cut[-1] + 1).to_batches()
-                n = sum(_size(x) for x in held)
-    if n:
-        yield pa.Table.from_batches(held)
-
-
-def _size(b: pa.RecordBatch) -> int:
-    return len(b["sid_b"].flatten())
-
-
-def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about CHUNK hits, as a list may be long."""
-    ends = np.cumsum(np.diff(b["sid_b"].offsets.to_numpy()))
-    at = 0
-    while at < len(b):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
-        yield b.slice(at, to - at)
-        at = to
-
-
-def _unlisted(t: pa.Table) -> dict[str, np.ndarray]:
-    """Columns with a row for each hit."""
-    flat = {c: t[c].combine_chunks() for c in _LISTS}
-    times = pc.list_value_length(flat["sid_b"]).to_numpy(zero_copy_only=False)
-    once = {c: np.repeat(t[c].to_numpy(), times) for c in _HITS if c not in _LISTS}
-    return once | {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in flat.items()}
-
-
-def _best(cell: np.ndarray, term: np.ndarray, alike: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """Per cell (numbered in order): the weight of its terms times their best likeness, and the terms themselves."""
-    order = np.lexsort((-alike, term, cell))
-    c, t = cell[order], term[order]
-    first = np.r_[True, (c[1:] != c[:-1]) | (t[1:] != t[:-1])]
-    at = order[first]
-    starts = np.flatnonzero(np.r_[True, np.diff(cell[at]) != 0])
-    got = np.add.reduceat((w[at] * alike[at]).astype(np.float64), starts)
-    rows = pa.StructArray.from_arrays([pa.array(term[at]), pa.array(alike[at], pa.float32()), pa.array(w[at], pa.float32())], ["t", "alike", "w"])
-    return got, pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)].astype(np.int32)), rows)
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _chunks(batches):
-        x = _unlisted(t)
-        new = np.r_[True, (x["pair"][1:] != x["pair"][:-1]) | (x["sid"][1:] != x["sid"][:-1])]
-        key = np.cumsum(new).astype(np.int64) * (1 << 31) + x["sid_b"]
-        _, at, cell = np.unique(key, return_index=True, return_inverse=True)
-        got_a, hits_a = _best(cell, x["term"], x["alike"], x["w"])
-        got_b, hits_b = _best(cell, x["as_term"], x["alike"], x["w_b"])
-        cover_a, cover_b = got_a / x["total"][at], got_b / x["total_b"][at]
-        sim = np.sqrt(cover_a * cover_b)
-        cols = [pa.array(x["pair"][at]), pa.array(x["sid"][at], pa.int32()), pa.array(x["sid_b"][at], pa.int32()), pa.array(x["total"][at]), pa.array(x["total_b"][at]), hits_a, hits_b, pa.array(cover_a), pa.array(cover_b), pa.array(sim), pa.array(np.abs(x["pos"][at] - x["pos_b"][at]).astype(np.float64))]
-        table = pa.Table.from_arrays(cols, ["pair", "sid_a", "sid_b", "total", "total_b", "hits_a", "hits_b", "cover_a", "cover_b", "sim", "far"])
-        yield from table.filter(pa.array(sim >= FAINT)).to_batches()
-
-
-def _ranked(scored: DataFrame) -> DataFrame:
+        known = a.join(F.broadcast(lexicon), ["direction", "term"]) if held else join_hot(a, lexicon, ["direction", "term"], salt_from=["pair", "sid"])
+        far = known.select(*PLACE, "sid", "pos", F.col("as_term").alias("term"), (F.col("w") * F.col("alike") * F.col("alike")).alias("v"))
+        own = own.unionByName(far)
+    return own.groupBy(*PLACE, "sid", "term").agg(F.first("pos").alias("pos"), F.sum("v").alias("v"))
+
+
+def _normed(v: DataFrame) -> DataFrame:
+    return v.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*PLACE, "sid"))))
+
+
+def _vectors(a: DataFrame, b: DataFrame, lexicon: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Normed sparse vectors of both sides, partitioned by block; the shuffles are those of the terms. A lexicon that is too
+    large to be broadcast is joined before."""
+    held = lexicon is None or is_small(lexicon)
+    left = _translated(a.repartition(*PLACE), lexicon, held) if held else _translated(a, lexicon, held).repartition(*PLACE)
+    right = b.select(*PLACE, "sid", "pos", "term", F.col("w").cast("double").alias("v")).repartition(*PLACE)
+    return _normed(left), _normed(right)
+
+
+def _cells(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(pair, block, sid_a, sid_b, dot, norm_a, norm_b, sim, far): all sentence pairs of a block that share a term, with the cosine."""
+    side = lambda df, s: df.select(*PLACE, "term", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "pos", "v", "norm")])
+    hits = side(x, "a").join(side(y, "b"), [*PLACE, "term"])
+    sums = hits.groupBy(*PLACE, "sid_a", "sid_b").agg(F.sum(F.col("v_a") * F.col("v_b")).alias("dot"), *[F.first(c).alias(c) for c in ("norm_a", "norm_b", "pos_a", "pos_b")])
+    sim = F.col("dot") / F.greatest(F.col("norm_a") * F.col("norm_b"), F.lit(1e-12))
+    return sums.select(*PLACE, "sid_a", "sid_b", "dot", "norm_a", "norm_b", sim.alias("sim"), F.abs(F.col("pos_a") - F.col("pos_b")).alias("far"))
+
+
+def _ranked(cells: DataFrame) -> DataFrame:
     """Ranks of each pair among those of its a and of its b; nearer places win ties and outweigh small differences."""
-    s = scored.withColumn("rate", F.col("sim") - 0.1 * F.col("far"))
-    by = lambda mine, other: Window.partitionBy("pair", mine).orderBy(F.col("rate").desc(), "far", other)
-    s = s.withColumn("rank_a", F.row_number().over(by("sid_a", "sid_b"))).withColumn("rank_b", F.row_number().over(by("sid_b", "sid_a")))
-    nxt = lambda mine, other: F.coalesce(F.lead("rate").over(by(mine, other)), F.lit(0.0))
-    return s.withColumn("next_a", nxt("sid_a", "sid_b")).withColumn("next_b", nxt("sid_b", "sid_a"))
+    s = cells.withColumn("rate", F.col("sim") - 0.1 * F.col("far"))
+    by = lambda keys, other: Window.partitionBy(*keys).orderBy(F.col("rate").desc(), "far", other)
+    of_a, of_b = by([*PLACE, "sid_a"], "sid_b"), by(["pair", "sid_b"], "sid_a")
+    nxt = lambda w: F.coalesce(F.lead("rate").over(w), F.lit(0.0))
+    s = s.withColumns({"rank_a": F.row_number().over(of_a), "next_a": nxt(of_a)})
+    return s.withColumns({"rank_b": F.row_number().over(of_b), "next_b": nxt(of_b)})
 
 
 def _lexicon(concepts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(direction, term, as_term, alike): cosine of the concept vectors of terms, all translations of each term."""
-    va = concepts.join(a.select("pair", F.col("sid").alias("sid_a"), "direction", "term"), ["pair", "sid_a"])
-    vb = concepts.join(b.select("pair", F.col("sid").alias("sid_b"), F.col("term").alias("as_term")), ["pair", "sid_b"])
-    both = va.groupBy("pair", "sid_a", "sid_b", "direction").agg(F.collect_list("term").alias("ta")).join(vb.groupBy("pair", "sid_a", "sid_b").agg(F.collect_list("as_term").alias("tb")), ["pair", "sid_a", "sid_b"])
-    both = materialize(both.select("direction", "ta", "tb"), "p2-vectors")  # one row per concept
-    na = both.select("direction", F.explode("ta").alias("term")).groupBy("direction", "term").agg(F.count("*").alias("na"))
-    nb = both.select("direction", F.explode("tb").alias("as_term")).groupBy("direction", "as_term").agg(F.count("*").alias("nb"))
-    together = both.select("direction", F.explode("ta").alias("term"), "tb").select("direction", "term", F.explode("tb").alias("as_term")).filter("term <> as_term").groupBy("direction", "term", "as_term").agg(F.count("*").alias("n"))
-    scored = together.filter("n >= 2").join(na, ["direction", "term"]).join(nb, ["direction", "as_term"])
-    scored = scored.withColumn("alike", (F.col("n") - 0.7) / F.sqrt(F.col("na") * F.col("nb"))).filter(F.col("alike") >= LEAST_COSINE)
-    mine = Window.partitionBy("direction", "term")
-    return scored.withColumn("top", F.max("alike").over(mine)).select("direction", "term", "as_term", F.least(F.lit(1.0), F.col("alike") / F.greatest(F.col("top"), F.lit(0.5))).cast("float").alias("alike"))
+    """(direction, term, as_term, alike): cosine of the concept vectors of terms, all translations of each term; 1 is the term's
+    best. Terms of one concept only have no vector to speak of; what their numbers of concepts rule out is left out at once."""
+    concept = ["pair", "sid_a", "sid_b"]
+    first = b.filter("block = 0")  # one copy of each sentence
+    of_a = concepts.join(a.select("pair", F.col("sid").alias("sid_a"), "direction", "term"), ["pair", "sid_a"])
+    of_b = concepts.join(first.select("pair", F.col("sid").alias("sid_b"), "direction", "term"), ["pair", "sid_b"])
+
+    def listed(t: DataFrame, name: str) -> DataFrame:
+        t = t.select(*concept, "direction", "term")
+        often = t.groupBy("direction", "term").agg(F.count("*").alias("n")).filter("n >= 2")
+        return join_hot(t, often, ["direction", "term"], salt_from=concept).groupBy(*concept, "direction").agg(F.collect_list(F.struct("term", F.col("n").cast("int").alias("n"))).alias(name))
+
+    both = listed(of_a, "ta").join(listed(of_b, "tb"), [*concept, "direction"])
+    x, y = F.col("x.n"), F.col("y.n")
+    met = both.select("direction", F.explode("ta").alias("x"), "tb").select("direction", "x", F.explode("tb").alias("y"))
+    met = met.filter((F.col("x.term") != F.col("y.term")) & (F.least(x, y) - 0.7 >= LEAST_COSINE * F.sqrt(x.cast("double") * y)))
+    together = met.select("direction", F.col("x.term").alias("term"), F.col("y.term").alias("as_term"), x.alias("na"), y.alias("nb"))
+    scored = together.groupBy("direction", "term", "as_term").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb")).filter("n >= 2")
+    scored = scored.withColumn("alike", (F.col("n") - 0.7) / F.sqrt(F.col("na").cast("double") * F.col("nb"))).filter(F.col("alike") >= LEAST_COSINE)
+    top = F.max("alike").over(Window.partitionBy("direction", "term"))
+    return scored.withColumn("top", top).select("direction", "term", "as_term", F.least(F.lit(1.0), F.col("alike") / F.greatest("top", F.lit(0.5))).alias("alike"))
 
 
 def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_a, page_a, idx_a, sent_a, doc_b, page_b, idx_b, sent_b, sim): pairs of sentences that render each other.
 
-    A pair is given if each is the other's best, or if one is the best of the other, covers it, and has room for it beside
-    its partner (a merged sentence). A sentence without counterpart gives none. Pairs of documents that have no sentences
-    give none; repeated rows of either table count once; equal sentences are told apart by their places."""
+    A pair is given if each is the other's best, or if one is the best of the other, which has no partner of its own, and
+    brings the window of the other's counterparts nearer (a merged sentence). A sentence without counterpart gives none.
+    Pairs of documents that have no sentences give none; repeated rows of either table count once; equal sentences are told
+    apart by their places."""
     s = materialize(sentences(elements, pairs), "p2-sentences")
-    n = s.groupBy("lang").agg(F.count("*").alias("n"))
-    w = materialize(_weighted(terms(s.select("pair", "side", "lang", "direction", "sid", "pos", "text")), n).drop("lang"), "p2-terms")
-    a, b = w.filter("side = 'a'").drop("side"), w.filter("side = 'b'").drop("side")
+    w = materialize(_weighted(terms(s.select("pair", "side", "lang", "direction", "sid", "pos", "blocks", "text")), s), "p2-terms")
+    a, b = _blocks(w)
     lexicon = None
     for r in range(rounds):
-        ranked = _ranked(_score(a, b, lexicon).drop("hits_a", "hits_b"))
-        least = 0.1 if r == 0 else LEAST_SIM
-        mutual = ranked.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & (F.col("sim") >= least) & (F.col("rate") > 1.1 * F.col("next_a")) & (F.col("rate") > 1.1 * F.col("next_b")))
+        ranked = _ranked(_cells(*_vectors(a, b, lexicon)))
+        clear = (F.col("rate") > CLEAR * F.col("next_a")) & (F.col("rate") > CLEAR * F.col("next_b"))
+        mutual = ranked.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & clear & (F.col("sim") >= (ANCHOR_SIM if r else FIRST_SIM)))
         concepts = materialize(mutual.select("pair", "sid_a", "sid_b"), "p2-concepts")
-        lexicon = materialize(_lexicon(concepts, a, b), "p2-lexicon")
-    scored = materialize(_ranked(_score(a, b, lexicon)).filter("rank_a <= 2 or rank_b <= 2"), "p2-scored")
-    best = scored.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & (F.col("sim") >= LEAST_SIM) & (F.greatest("cover_a", "cover_b") >= LEAST_COVER))
-    return _with_places(_spans(scored, best), s)
-
-
-def _spans(scored: DataFrame, best: DataFrame) -> DataFrame:
-    """Mutual best pairs, and for merged sentences the counterparts beside the partner: sentences without partner of their
-    own, of which the merged one is the best, each covering a share GAIN of it that those taken before don't."""
-    found = best.select("pair", "sid_a", "sid_b", "sim")
-    for one, many in (("a", "b"), ("b", "a")):
-        host, guest = f"sid_{one}", f"sid_{many}"
-        partner = best.select("pair", host, F.col(f"hits_{one}").alias("had"))
-        free = scored.join(best.select("pair", guest), ["pair", guest], "left_anti")
-        extra = free.filter((F.col(f"rank_{many}") == 1) & (F.col(f"cover_{many}") >= LEAST_COVER)).join(partner, ["pair", host])
-        rest = F.struct(F.col(guest).alias("guest"), F.col(f"hits_{one}").alias("hits"), "sim")
-        hosts = extra.groupBy("pair", F.col(host).alias("host")).agg(F.first("had").alias("had"), F.first("total" if one == "a" else "total_b").alias("total"), F.collect_list(rest).alias("rest"))
-        kept = hosts.mapInPandas(_further, "pair bigint, host int, guest int, sim double").withColumnsRenamed({"host": host, "guest": guest})
-        found = found.unionByName(kept.select("pair", "sid_a", "sid_b", "sim"))
-    return found.dropDuplicates(["pair", "sid_a", "sid_b"])
-
-
-def _further(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counterparts of merged sentences, the one with the largest gain first, until none reaches GAIN."""
-    for f in frames:
-        rows = []
-        for pair, host, first, total, rest in zip(f.pair, f.host, f.had, f.total, f.rest):
-            had = {h["t"]: h["alike"] for h in first}
-            left = {x["guest"]: x for x in rest}
-            while left:
-                gains = {g: sum(h["w"] * max(0.0, h["alike"] - had.get(h["t"], 0.0)) for h in x["hits"]) / total for g, x in left.items()}
-                g = min(gains, key=lambda k: (-gains[k], k))
-                if gains[g] < GAIN:
-                    break
-                x = left.pop(g)
-                rows.append((pair, host, g, x["sim"]))
-                for h in x["hits"]:
-                    had[h["t"]] = max(had.get(h["t"], 0.0), h["alike"])
-        yield pd.DataFrame(rows, columns=["pair", "host", "guest", "sim"])
+        last, lexicon = lexicon, materialize(_lexicon(concepts, a, b), "p2-lexicon")
+        discard(concepts, *([last] if last is not None else []))
+    x, y = _vectors(a, b, lexicon)
+    cells = materialize(_ranked(_cells(x, y)).filter((F.col("rank_a") == 1) | (F.col("rank_b") == 1) | (F.col("sim") >= GUEST_SIM)), "p2-cells")
+    best = cells.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & (F.col("sim") >= LEAST_SIM))
+    found = best.select("pair", "sid_a", "sid_b", "sim").unionByName(_spans(cells, best, x, y, "a", "b")).unionByName(_spans(cells, best, y, x, "b", "a"))
+    return _with_places(found.dropDuplicates(["pair", "sid_a", "sid_b"]), s)
+
+
+def _spans(cells: DataFrame, best: DataFrame, hosts: DataFrame, guests: DataFrame, one: str, many: str) -> DataFrame:
+    """(pair, sid_a, sid_b, sim): further counterparts of merged sentences of side `one`. A sentence of side `many` without partner
+    joins the window whose cosine to its host grows most by it; of several the best goes first, and the others are tried
+    again with the larger window. A window has each term once, as the merged sentence would."""
+    host, guest = f"sid_{one}", f"sid_{many}"
+    key = [*PLACE, "host"]
+    free = cells.join(best.select("pair", guest), ["pair", guest], "left_anti").filter(F.col("sim") >= GUEST_SIM)
+    row = lambda df: df.select(*PLACE, F.col(host).alias("host"), F.col(guest).alias("guest"), "dot", F.col(f"norm_{many}").alias("norm"), "sim")
+    left = materialize(row(free).join(row(best).select(*key), key, "left_semi"), "p2-guests")
+    members = row(best).join(left.select(*key).distinct(), key, "left_semi")
+    asked = left.select(*PLACE, "guest").unionByName(members.select(*PLACE, "guest")).distinct()
+    vectors = materialize(guests.select(*PLACE, F.col("sid").alias("guest"), "term", "v").join(asked, [*PLACE, "guest"], "left_semi"), "p2-windows")
+    own = materialize(hosts.select(*PLACE, F.col("sid").alias("host"), "term", F.col("v").alias("x")).join(left.select(*key).distinct(), key, "left_semi"), "p2-windows")
+    state = members.select(*key, F.col("dot").alias("had"), (F.col("norm") * F.col("norm")).alias("square"))
+    window = members.select(*key, "guest").join(vectors, [*PLACE, "guest"]).select(*key, "term", F.col("v").alias("u"))
+    found = best.filter("false").select("pair", "sid_a", "sid_b", "sim")
+    while not left.isEmpty():
+        met = left.select(*key, "guest").join(vectors, [*PLACE, "guest"]).join(window, [*key, "term"], "left").join(own, [*key, "term"], "left").fillna(0.0, ["u", "x"])
+        more = F.greatest(F.col("v") - F.col("u"), F.lit(0.0))
+        grown = met.groupBy(*key, "guest").agg(F.sum(more * F.col("x")).alias("more"), F.sum(more * (more + 2 * F.col("u"))).alias("wider"))
+        tried = left.join(state, key).join(grown, [*key, "guest"])
+        near = lambda dot, square: F.col(dot) / F.sqrt(square)
+        tried = tried.withColumns({"had_new": F.col("had") + F.col("more"), "square_new": F.col("square") + F.col("wider")}).withColumn("gain", near("had_new", "square_new") / near("had", "square"))
+        mine, ours = Window.partitionBy("pair", "guest").orderBy(F.col("gain").desc(), "host"), Window.partitionBy(*key).orderBy("nth", F.col("gain").desc(), "guest")
+        tried = tried.filter(F.col("gain") > GAIN).withColumn("nth", F.row_number().over(mine)).withColumn("k", F.row_number().over(ours))
+        tried = materialize(tried, "p2-gains")
+        taken = tried.filter("nth = 1 and k = 1")
+        found = found.unionByName(taken.select("pair", F.col("host").alias(host), F.col("guest").alias(guest), "sim").select("pair", "sid_a", "sid_b", "sim"))
+        left = materialize(tried.select(*left.columns).join(taken.select("pair", "guest"), ["pair", "guest"], "left_anti").join(taken.select(*key), key, "left_semi"), "p2-guests")
+        if left.isEmpty():
+            break
+        state = taken.select(*key, F.col("had_new").alias("had"), F.col("square_new").alias("square"))
+        added = taken.select(*key, "guest").join(vectors, [*PLACE, "guest"]).select(*key, "term", F.col("v").alias("u"))
+        window = materialize(window.join(taken.select(*key), key, "left_semi").unionByName(added).groupBy(*key, "term").agg(F.max("u").alias("u")), "p2-windows")
+    return found
 
 
 def _with_places(found: DataFrame, s: DataFrame) -> DataFrame:

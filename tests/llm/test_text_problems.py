@@ -177,23 +177,37 @@ def test_alignment_edges(spark, make_elements):
     assert bitext.aligned_sentences(make_elements(), p).count() == 0
 
 
+def test_blocks_change_nothing(spark, make_elements, monkeypatch):
+    rows = [(EN[i % 4].format(p=f"Zel{i}dal"), DE[i % 4].format(p=f"Zel{i}dal")) for i in range(30)]
+    e = make_elements(*[{"doc_id": 1, "idx": i, "sentences": [x]} for i, (x, _) in enumerate(rows)], *[{"doc_id": 2, "idx": i, "sentences": [y]} for i, (_, y) in enumerate(rows)])
+    p = spark.createDataFrame([(1, "en", 2, "de")], "doc_a bigint, lang_a string, doc_b bigint, lang_b string")
+    got = lambda: sorted(tuple(r) for r in bitext.aligned_sentences(e, p).collect())
+    whole = got()
+    monkeypatch.setattr(bitext, "BLOCK", 7)
+    assert got() == whole and len(whole) == 30
+    monkeypatch.setattr(bitext, "is_small", lambda t: False)
+    assert got() == whole
+
+
 def test_all_translations_and_frequent_terms(spark):
-    side = lambda ts: spark.createDataFrame([(1, s, 7, t) for s in range(3) for t in ts], "pair bigint, sid int, direction bigint, term bigint")
+    side = lambda ts: spark.createDataFrame([(1, 0, s, 7, t) for s in range(3) for t in ts], "pair bigint, block int, sid int, direction int, term bigint")
     concepts = spark.createDataFrame([(1, s, s) for s in range(3)], "pair bigint, sid_a int, sid_b int")
     got = bitext._lexicon(concepts, side([1]), side(range(10, 22))).collect()
     assert {r.as_term for r in got if r.term == 1} == set(range(10, 22))
-    t = spark.createDataFrame([(1, "a", "en", s, x) for s in range(40) for x in (1, 100 + s)], "pair bigint, side string, lang string, sid int, term bigint")
-    kept = bitext._weighted(t, spark.createDataFrame([("en", 40)], "lang string, n bigint")).filter("term = 1").collect()
-    assert len(kept) == 40 and all(r.w > 0 for r in kept)
+    t = spark.createDataFrame([(1, "a", "en", s, x) for s in range(40) for x in ("1", f"{100 + s}")], "pair bigint, side string, lang string, sid int, term string")
+    kept = bitext._weighted(t, t.select("lang", "sid").distinct()).groupBy("term").count().collect()
+    assert max(r["count"] for r in kept) == 40 and len(kept) == 41
 
 
 def test_merged_sentence_keeps_all_counterparts(spark):
-    hit = lambda *ts: [(t, 1.0, 1.0) for t in ts]
-    rows = [(1, a, 1, 1.0, 4.0, hit(t), hit(t), 1.0, 0.25, 0.5, 1, a) for a, t in ((1, 11), (2, 12), (3, 13), (4, 14), (5, 14))]
-    array = "array<struct<t:bigint,alike:float,w:float>>"
-    scored = spark.createDataFrame(rows, f"pair bigint, sid_a int, sid_b int, total float, total_b float, hits_a {array}, hits_b {array}, cover_a double, cover_b double, sim double, rank_a int, rank_b int")
-    got = bitext._spans(scored, scored.filter("sid_a = 1")).collect()
-    assert {(r.sid_a, r.sid_b) for r in got} == {(a, 1) for a in (1, 2, 3, 4)} and len(got) == 4
+    """Sentence 1 of b holds the terms 1 to 4; 1 to 4 of a render one each, 5 says the same as 4, 6 shares a term and has others."""
+    x = {1: [1], 2: [2], 3: [3], 4: [4], 5: [4], 6: [1, 90, 91, 92]}
+    vector = lambda rows, name: spark.createDataFrame([(1, 0, s, 0.0, t, 1.0, len(ts) ** 0.5) for s, ts in rows.items() for t in ts], "pair bigint, block int, sid int, pos float, term bigint, v double, norm double")
+    a, b = vector(x, "a"), vector({1: [1, 2, 3, 4]}, "b")
+    cells = bitext._ranked(bitext._cells(a, b))
+    got = bitext._spans(cells, cells.filter("sid_a = 1"), b, a, "b", "a").collect()
+    assert {(r.sid_a, r.sid_b) for r in got} in ({(k, 1) for k in (2, 3, 4)}, {(k, 1) for k in (2, 3, 4, 5)}, {(k, 1) for k in (2, 3, 5)})
+    assert all(r.sid_a != 6 for r in got)
 
 
 # --- scanned pages ---
