@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.session import discard, is_small, join_hot, materialize
+from quirefold.session import discard, join_hot, materialize
 
 #: Least cosine of the concept vectors of translations.
 LEAST_COSINE = 0.12
@@ -82,29 +82,38 @@ def _blocks(w: DataFrame) -> tuple[DataFrame, DataFrame]:
     return a, b
 
 
-def _translated(a: DataFrame, lexicon: DataFrame | None, held: bool) -> DataFrame:
-    """(pair, block, sid, pos, term, v): sentences of a over the terms of the other language; a term written alike counts whole."""
-    own = a.select(*PLACE, "sid", "pos", "term", F.col("w").cast("double").alias("v"))
-    if lexicon is not None:
-        known = a.join(F.broadcast(lexicon), ["direction", "term"]) if held else join_hot(a, lexicon, ["direction", "term"], salt_from=["pair", "sid"])
-        far = known.select(*PLACE, "sid", "pos", F.col("as_term").alias("term"), (F.col("w") * F.col("alike") * F.col("alike")).alias("v"))
-        own = own.unionByName(far)
-    return own.groupBy(*PLACE, "sid", "term").agg(F.first("pos").alias("pos"), F.sum("v").alias("v"))
-
-
 def _normed(v: DataFrame) -> DataFrame:
     return v.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(*PLACE, "sid"))))
 
 
 def _vectors(a: DataFrame, b: DataFrame, lexicon: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Normed sparse vectors of both sides, partitioned by block; the shuffles are those of the terms. A lexicon that is too
-    large to be broadcast is joined before."""
-    held = lexicon is None or is_small(lexicon)
-    left = _translated(a.repartition(*PLACE), lexicon, held) if held else _translated(a, lexicon, held).repartition(*PLACE)
-    right = b.select(*PLACE, "sid", "pos", "term", F.col("w").cast("double").alias("v")).repartition(*PLACE)
+    """(pair, block, sid, term, pos, v, norm) of both sides, partitioned by block: sentences of a over the terms of the other
+    language, a term written alike counting whole, and those of b over their own. The lexicon, one row for each term, is
+    broadcast if it is small when counted; a larger one is joined before its lists are unfolded."""
+    if lexicon is None:
+        told = a.repartition(*PLACE).withColumn("to", F.array().cast(_TO))
+    elif _held(lexicon):
+        told = a.repartition(*PLACE).join(F.broadcast(lexicon), ["direction", "term"], "left")
+    else:
+        told = join_hot(a, lexicon, ["direction", "term"], "left", salt_from=["pair", "sid"]).repartition(*PLACE)
+    own = F.array(F.struct(F.col("term").alias("as_term"), F.lit(1.0).alias("alike")))
+    far = told.select(*PLACE, "sid", "pos", "w", F.explode(F.concat(own, F.coalesce("to", F.array().cast(_TO)))).alias("x"))
+    value = F.sum(F.col("w") * F.col("x.alike") * F.col("x.alike"))
+    left = far.groupBy(*PLACE, "sid", F.col("x.as_term").alias("term")).agg(F.first("pos").alias("pos"), value.alias("v"))
+    right = b.repartition(*PLACE).select(*PLACE, "sid", "term", "pos", F.col("w").cast("double").alias("v"))
     return _normed(left), _normed(right)
 
 
+_TO = "array<struct<as_term:bigint,alike:double>>"
+#: Bytes of a lexicon that is broadcast at most.
+LEXICON_BYTES = 32 << 20
+
+
+def _held(lexicon: DataFrame) -> bool:
+    n, k = lexicon.agg(F.count("*"), F.sum(F.size("to"))).first()
+    return 64 * n + 24 * (k or 0) <= LEXICON_BYTES
+
+
 def _cells(x: DataFrame, y: DataFrame) -> DataFrame:
     """(pair, block, sid_a, sid_b, dot, norm_a, norm_b, sim, far): all sentence pairs of a block that share a term, with the cosine."""
     side = lambda df, s: df.select(*PLACE, "term", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "pos", "v", "norm")])
@@ -114,19 +123,22 @@ def _cells(x: DataFrame, y: DataFrame) -> DataFrame:
     return sums.select(*PLACE, "sid_a", "sid_b", "dot", "norm_a", "norm_b", sim.alias("sim"), F.abs(F.col("pos_a") - F.col("pos_b")).alias("far"))
 
 
-def _ranked(cells: DataFrame) -> DataFrame:
-    """Ranks of each pair among those of its a and of its b; nearer places win ties and outweigh small differences."""
+def _ranked(cells: DataFrame, least: float = 2.0) -> DataFrame:
+    """Ranks of each pair among those of its a and of its b, with the rate of the next one; nearer places win ties and outweigh
+    small differences. Returned are the pairs that are an a's first, or among the first two of a b, and those with a
+    cosine of `least`. Ranks within a block come first, so that only these pairs are shuffled to be ranked over all blocks."""
     s = cells.withColumn("rate", F.col("sim") - 0.1 * F.col("far"))
     by = lambda keys, other: Window.partitionBy(*keys).orderBy(F.col("rate").desc(), "far", other)
-    of_a, of_b = by([*PLACE, "sid_a"], "sid_b"), by(["pair", "sid_b"], "sid_a")
+    of_a, inside, of_b = by([*PLACE, "sid_a"], "sid_b"), by([*PLACE, "sid_b"], "sid_a"), by(["pair", "sid_b"], "sid_a")
     nxt = lambda w: F.coalesce(F.lead("rate").over(w), F.lit(0.0))
-    s = s.withColumns({"rank_a": F.row_number().over(of_a), "next_a": nxt(of_a)})
+    s = s.withColumns({"rank_a": F.row_number().over(of_a), "next_a": nxt(of_a)}).withColumn("k", F.row_number().over(inside))
+    s = s.filter((F.col("rank_a") == 1) | (F.col("k") <= 2) | (F.col("sim") >= least)).drop("k")
     return s.withColumns({"rank_b": F.row_number().over(of_b), "next_b": nxt(of_b)})
 
 
 def _lexicon(concepts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(direction, term, as_term, alike): cosine of the concept vectors of terms, all translations of each term; 1 is the term's
-    best. Terms of one concept only have no vector to speak of; what their numbers of concepts rule out is left out at once."""
+    """(direction, term, to): for each term all its translations (as_term, alike), alike being the cosine of the concept vectors,
+    relative to the term's best. Terms of one concept only have no vector to speak of; what their numbers of concepts rule out is left out at once."""
     concept = ["pair", "sid_a", "sid_b"]
     first = b.filter("block = 0")  # one copy of each sentence
     of_a = concepts.join(a.select("pair", F.col("sid").alias("sid_a"), "direction", "term"), ["pair", "sid_a"])
@@ -145,7 +157,8 @@ def _lexicon(concepts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     scored = together.groupBy("direction", "term", "as_term").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb")).filter("n >= 2")
     scored = scored.withColumn("alike", (F.col("n") - 0.7) / F.sqrt(F.col("na").cast("double") * F.col("nb"))).filter(F.col("alike") >= LEAST_COSINE)
     top = F.max("alike").over(Window.partitionBy("direction", "term"))
-    return scored.withColumn("top", top).select("direction", "term", "as_term", F.least(F.lit(1.0), F.col("alike") / F.greatest("top", F.lit(0.5))).alias("alike"))
+    found = scored.withColumn("top", top).select("direction", "term", "as_term", F.least(F.lit(1.0), F.col("alike") / F.greatest("top", F.lit(0.5))).alias("alike"))
+    return found.groupBy("direction", "term").agg(F.collect_list(F.struct("as_term", "alike")).alias("to"))
 
 
 def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -167,7 +180,7 @@ def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUND
         last, lexicon = lexicon, materialize(_lexicon(concepts, a, b), "p2-lexicon")
         discard(concepts, *([last] if last is not None else []))
     x, y = _vectors(a, b, lexicon)
-    cells = materialize(_ranked(_cells(x, y)).filter((F.col("rank_a") == 1) | (F.col("rank_b") == 1) | (F.col("sim") >= GUEST_SIM)), "p2-cells")
+    cells = materialize(_ranked(_cells(x, y), GUEST_SIM), "p2-cells")
     best = cells.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & (F.col("sim") >= LEAST_SIM))
     found = best.select("pair", "sid_a", "sid_b", "sim").unionByName(_spans(cells, best, x, y, "a", "b")).unionByName(_spans(cells, best, y, x, "b", "a"))
     return _with_places(found.dropDuplicates(["pair", "sid_a", "sid_b"]), s)
