@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +82,23 @@ def _clear() -> None:
             return
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """SQL settings for plans that are made inside; they are as before afterwards. Names have _ for a dot."""
+    names = {k.replace("_", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Upper estimate of a plan's size from Catalyst's statistics; runs no job."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
