@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.session import discard, join_hot, materialize
+from quirefold.session import discard, join_hot, materialize, settings
 
 #: Least cosine of the concept vectors of translations.
 LEAST_COSINE = 0.12
@@ -171,6 +171,18 @@ def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUND
     s = materialize(sentences(elements, pairs), "p2-sentences")
     w = materialize(_weighted(terms(s.select("pair", "side", "lang", "direction", "sid", "pos", "blocks", "text")), s), "p2-terms")
     a, b = _blocks(w)
+    # both sides of a join that are partitioned by block already stay as they are
+    with settings(s.sparkSession, spark_sql_requireAllClusterKeysForCoPartition="false"):
+        lexicon = _learned(a, b, rounds)
+        x, y = _vectors(a, b, lexicon)
+        cells = materialize(_ranked(_cells(x, y), GUEST_SIM), "p2-cells")
+    best = cells.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & (F.col("sim") >= LEAST_SIM))
+    found = best.select("pair", "sid_a", "sid_b", "sim").unionByName(_spans(cells, best, x, y, "a", "b")).unionByName(_spans(cells, best, y, x, "b", "a"))
+    return _with_places(found.dropDuplicates(["pair", "sid_a", "sid_b"]), s)
+
+
+def _learned(a: DataFrame, b: DataFrame, rounds: int) -> DataFrame | None:
+    """The lexicon after some rounds, each from the mutual best pairs that the one before gives."""
     lexicon = None
     for r in range(rounds):
         ranked = _ranked(_cells(*_vectors(a, b, lexicon)))
@@ -179,11 +191,7 @@ def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUND
         concepts = materialize(mutual.select("pair", "sid_a", "sid_b"), "p2-concepts")
         last, lexicon = lexicon, materialize(_lexicon(concepts, a, b), "p2-lexicon")
         discard(concepts, *([last] if last is not None else []))
-    x, y = _vectors(a, b, lexicon)
-    cells = materialize(_ranked(_cells(x, y), GUEST_SIM), "p2-cells")
-    best = cells.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & (F.col("sim") >= LEAST_SIM))
-    found = best.select("pair", "sid_a", "sid_b", "sim").unionByName(_spans(cells, best, x, y, "a", "b")).unionByName(_spans(cells, best, y, x, "b", "a"))
-    return _with_places(found.dropDuplicates(["pair", "sid_a", "sid_b"]), s)
+    return lexicon
 
 
 def _spans(cells: DataFrame, best: DataFrame, hosts: DataFrame, guests: DataFrame, one: str, many: str) -> DataFrame:
