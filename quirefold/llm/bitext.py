@@ -32,9 +32,9 @@ PLACE = ["pair", "block"]
 
 
 def sentences(elements: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair, doc_a, doc_b, side, lang, direction, page, idx, sent, sid, pos, blocks, text): sentences of both documents of each pair;
-    sid numbers the sentences of a document, pos is the relative place, blocks the number of blocks of the pair. Keys are
-    numbers, as they are shuffled often. Null and blank sentences keep their number but give no row, elements without page none."""
+    """(pair, doc_a, doc_b, side, lang, direction, page, idx, sent, sid, pos, blocks_a, blocks_b, text): sentences of both documents
+    of each pair; sid numbers the sentences of a document, pos is the relative place, blocks_a and blocks_b count the parts of
+    BLOCK sentences of its documents. Keys are numbers, as they are shuffled often. Null and blank sentences keep their number but give no row, elements without page none."""
     p = pairs.dropna(subset=["doc_a", "doc_b"]).dropDuplicates(["doc_a", "doc_b"]).select("doc_a", "doc_b", *[F.coalesce(c, F.lit("")).alias(c) for c in ("lang_a", "lang_b")])
     p = materialize(p.withColumn("pair", F.monotonically_increasing_id()), "p2-pairs")
     # pairs of languages are few, whatever the size of the collection
@@ -49,8 +49,8 @@ def sentences(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     side_order = Window.partitionBy("pair", "side")
     before = F.sum("n").over(side_order.orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
     offsets = out.groupBy("pair", "side", "page").agg(F.count("*").alias("n")).withColumns({"before": F.coalesce(before, F.lit(0)), "all": F.sum("n").over(side_order)}).drop("n")
-    sizes = offsets.filter("side = 'a'").groupBy("pair").agg(F.ceil(F.max("all") / BLOCK).cast("int").alias("blocks"))
-    offsets = materialize(offsets.join(sizes, "pair", "left").fillna(1, ["blocks"]), "p2-offsets")
+    count = lambda s: F.coalesce(F.ceil(F.max(F.when(F.col("side") == s, F.col("all"))) / BLOCK).cast("int"), F.lit(1)).alias(f"blocks_{s}")
+    offsets = materialize(offsets.join(offsets.groupBy("pair").agg(count("a"), count("b")), "pair"), "p2-offsets")
     on_page = out.withColumn("nth", F.row_number().over(Window.partitionBy("pair", "side", "page").orderBy("idx", "sent")))
     numbered = on_page.join(offsets, ["pair", "side", "page"]).withColumn("sid", (F.col("before") + F.col("nth")).cast("int"))
     return numbered.withColumn("pos", (F.col("sid") / F.col("all")).cast("float")).drop("before", "all", "nth")
@@ -76,10 +76,20 @@ def _weighted(t: DataFrame, sents: DataFrame) -> DataFrame:
 
 
 def _blocks(w: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Terms of sentences of a by block, and those of b once for each block of their pair."""
-    a = w.filter("side = 'a'").select("pair", F.floor((F.col("sid") - 1) / BLOCK).cast("int").alias("block"), "sid", "term", "w", "pos", "direction")
-    b = w.filter("side = 'b'").select("pair", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", "term", "w", "pos", "direction")
-    return a, b
+    """Terms of sentences by block; a block is a part of a with a part of b, so that each part stands in one block unless its
+    pair is long."""
+    part = F.floor((F.col("sid") - 1) / BLOCK).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cols = ["sid", "term", "w", "pos", "direction"]
+    a = w.filter("side = 'a'").select("pair", "blocks_b", part.alias("i"), upto("blocks_b").alias("j"), *cols)
+    b = w.filter("side = 'b'").select("pair", "blocks_b", upto("blocks_a").alias("i"), part.alias("j"), *cols)
+    block = (F.col("i").cast("long") * F.col("blocks_b") + F.col("j")).alias("block")
+    return a.select("pair", block, *cols), b.select("pair", block, *cols)
+
+
+def _by_block(t: DataFrame) -> DataFrame:
+    """t partitioned by block; terms are few bytes for the rows they give, so that tasks are small."""
+    return t.repartition(4 * int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACE)
 
 
 def _normed(v: DataFrame) -> DataFrame:
@@ -91,16 +101,16 @@ def _vectors(a: DataFrame, b: DataFrame, lexicon: DataFrame | None) -> tuple[Dat
     language, a term written alike counting whole, and those of b over their own. The lexicon, one row for each term, is
     broadcast if it is small when counted; a larger one is joined before its lists are unfolded."""
     if lexicon is None:
-        told = a.repartition(*PLACE).withColumn("to", F.array().cast(_TO))
+        told = _by_block(a).withColumn("to", F.array().cast(_TO))
     elif _held(lexicon):
-        told = a.repartition(*PLACE).join(F.broadcast(lexicon), ["direction", "term"], "left")
+        told = _by_block(a).join(F.broadcast(lexicon), ["direction", "term"], "left")
     else:
-        told = join_hot(a, lexicon, ["direction", "term"], "left", salt_from=["pair", "sid"]).repartition(*PLACE)
+        told = _by_block(join_hot(a, lexicon, ["direction", "term"], "left", salt_from=["pair", "sid"]))
     own = F.array(F.struct(F.col("term").alias("as_term"), F.lit(1.0).alias("alike")))
     far = told.select(*PLACE, "sid", "pos", "w", F.explode(F.concat(own, F.coalesce("to", F.array().cast(_TO)))).alias("x"))
     value = F.sum(F.col("w") * F.col("x.alike") * F.col("x.alike"))
     left = far.groupBy(*PLACE, "sid", F.col("x.as_term").alias("term")).agg(F.first("pos").alias("pos"), value.alias("v"))
-    right = b.repartition(*PLACE).select(*PLACE, "sid", "term", "pos", F.col("w").cast("double").alias("v"))
+    right = _by_block(b).select(*PLACE, "sid", "term", "pos", F.col("w").cast("double").alias("v"))
     return _normed(left), _normed(right)
 
 
@@ -117,7 +127,7 @@ def _held(lexicon: DataFrame) -> bool:
 def _cells(x: DataFrame, y: DataFrame) -> DataFrame:
     """(pair, block, sid_a, sid_b, dot, norm_a, norm_b, sim, far): all sentence pairs of a block that share a term, with the cosine."""
     side = lambda df, s: df.select(*PLACE, "term", *[F.col(c).alias(f"{c}_{s}") for c in ("sid", "pos", "v", "norm")])
-    hits = side(x, "a").join(side(y, "b"), [*PLACE, "term"])
+    hits = side(x, "a").join(side(y, "b").hint("shuffle_hash"), [*PLACE, "term"])  # what is held is a part of a document
     sums = hits.groupBy(*PLACE, "sid_a", "sid_b").agg(F.sum(F.col("v_a") * F.col("v_b")).alias("dot"), *[F.first(c).alias(c) for c in ("norm_a", "norm_b", "pos_a", "pos_b")])
     sim = F.col("dot") / F.greatest(F.col("norm_a") * F.col("norm_b"), F.lit(1e-12))
     return sums.select(*PLACE, "sid_a", "sid_b", "dot", "norm_a", "norm_b", sim.alias("sim"), F.abs(F.col("pos_a") - F.col("pos_b")).alias("far"))
@@ -125,24 +135,24 @@ def _cells(x: DataFrame, y: DataFrame) -> DataFrame:
 
 def _ranked(cells: DataFrame, least: float = 2.0) -> DataFrame:
     """Ranks of each pair among those of its a and of its b, with the rate of the next one; nearer places win ties and outweigh
-    small differences. Returned are the pairs that are an a's first, or among the first two of a b, and those with a
-    cosine of `least`. Ranks within a block come first, so that only these pairs are shuffled to be ranked over all blocks."""
+    small differences. Returned are the pairs that are among the first two of their a or b, and those with a cosine of
+    `least`. Ranks within a block come first, so that only these pairs are shuffled to be ranked over all blocks."""
     s = cells.withColumn("rate", F.col("sim") - 0.1 * F.col("far"))
     by = lambda keys, other: Window.partitionBy(*keys).orderBy(F.col("rate").desc(), "far", other)
-    of_a, inside, of_b = by([*PLACE, "sid_a"], "sid_b"), by([*PLACE, "sid_b"], "sid_a"), by(["pair", "sid_b"], "sid_a")
-    nxt = lambda w: F.coalesce(F.lead("rate").over(w), F.lit(0.0))
-    s = s.withColumns({"rank_a": F.row_number().over(of_a), "next_a": nxt(of_a)}).withColumn("k", F.row_number().over(inside))
-    s = s.filter((F.col("rank_a") == 1) | (F.col("k") <= 2) | (F.col("sim") >= least)).drop("k")
-    return s.withColumns({"rank_b": F.row_number().over(of_b), "next_b": nxt(of_b)})
+    s = s.withColumns({"j": F.row_number().over(by([*PLACE, "sid_a"], "sid_b"))}).withColumn("k", F.row_number().over(by([*PLACE, "sid_b"], "sid_a")))
+    s = s.filter((F.col("j") <= 2) | (F.col("k") <= 2) | (F.col("sim") >= least)).drop("j", "k")
+    for one, other in (("a", "b"), ("b", "a")):
+        w = by(["pair", f"sid_{one}"], f"sid_{other}")
+        s = s.withColumns({f"rank_{one}": F.row_number().over(w), f"next_{one}": F.coalesce(F.lead("rate").over(w), F.lit(0.0))})
+    return s
 
 
 def _lexicon(concepts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(direction, term, to): for each term all its translations (as_term, alike), alike being the cosine of the concept vectors,
     relative to the term's best. Terms of one concept only have no vector to speak of; what their numbers of concepts rule out is left out at once."""
     concept = ["pair", "sid_a", "sid_b"]
-    first = b.filter("block = 0")  # one copy of each sentence
-    of_a = concepts.join(a.select("pair", F.col("sid").alias("sid_a"), "direction", "term"), ["pair", "sid_a"])
-    of_b = concepts.join(first.select("pair", F.col("sid").alias("sid_b"), "direction", "term"), ["pair", "sid_b"])
+    of_a = concepts.join(a.select(*PLACE, F.col("sid").alias("sid_a"), "direction", "term"), [*PLACE, "sid_a"])
+    of_b = concepts.join(b.select(*PLACE, F.col("sid").alias("sid_b"), "direction", "term"), [*PLACE, "sid_b"])
 
     def listed(t: DataFrame, name: str) -> DataFrame:
         t = t.select(*concept, "direction", "term")
@@ -169,16 +179,22 @@ def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUND
     Pairs of documents that have no sentences give none; repeated rows of either table count once; equal sentences are told
     apart by their places."""
     s = materialize(sentences(elements, pairs), "p2-sentences")
-    w = materialize(_weighted(terms(s.select("pair", "side", "lang", "direction", "sid", "pos", "blocks", "text")), s), "p2-terms")
+    w = materialize(_weighted(terms(s.select("pair", "side", "lang", "direction", "sid", "pos", "blocks_a", "blocks_b", "text")), s), "p2-terms")
     a, b = _blocks(w)
     # both sides of a join that are partitioned by block already stay as they are
     with settings(s.sparkSession, spark_sql_requireAllClusterKeysForCoPartition="false"):
         lexicon = _learned(a, b, rounds)
-        x, y = _vectors(a, b, lexicon)
-        cells = materialize(_ranked(_cells(x, y), GUEST_SIM), "p2-cells")
+        cells = materialize(_ranked(_cells(*_vectors(a, b, lexicon)), GUEST_SIM), "p2-cells")
     best = cells.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & (F.col("sim") >= LEAST_SIM))
-    found = best.select("pair", "sid_a", "sid_b", "sim").unionByName(_spans(cells, best, x, y, "a", "b")).unionByName(_spans(cells, best, y, x, "b", "a"))
-    return _with_places(found.dropDuplicates(["pair", "sid_a", "sid_b"]), s)
+    # vectors of the sentences in question only: merged ones are few
+    open_ = {m: cells.join(best.select("pair", f"sid_{m}"), ["pair", f"sid_{m}"], "left_anti").filter(F.col("sim") >= GUEST_SIM).join(best.select("pair", f"sid_{o}"), ["pair", f"sid_{o}"], "left_semi") for o, m in (("a", "b"), ("b", "a"))}
+    tried = materialize(open_["a"].unionByName(open_["b"]), "p2-tried")
+    with_best = tried.select(*PLACE, "sid_a", "sid_b").unionByName(best.join(tried.select("pair", "sid_a"), ["pair", "sid_a"], "left_semi").select(*PLACE, "sid_a", "sid_b")).unionByName(best.join(tried.select("pair", "sid_b"), ["pair", "sid_b"], "left_semi").select(*PLACE, "sid_a", "sid_b"))
+    asked = lambda t, one: t.join(materialize(with_best.select(*PLACE, F.col(f"sid_{one}").alias("sid")).distinct(), "p2-asked"), [*PLACE, "sid"], "left_semi")
+    once = ["pair", "sid", "term"]  # a sentence of a long pair stands in several blocks
+    x, y = (materialize(v.dropDuplicates(once), "p2-windows") for v in _vectors(asked(a, "a"), asked(b, "b"), lexicon))
+    spans = _spans(open_["b"], best, x, y, "a", "b").unionByName(_spans(open_["a"], best, y, x, "b", "a"))
+    return _with_places(best.select("pair", "sid_a", "sid_b", "sim").unionByName(spans).dropDuplicates(["pair", "sid_a", "sid_b"]), s)
 
 
 def _learned(a: DataFrame, b: DataFrame, rounds: int) -> DataFrame | None:
@@ -188,30 +204,28 @@ def _learned(a: DataFrame, b: DataFrame, rounds: int) -> DataFrame | None:
         ranked = _ranked(_cells(*_vectors(a, b, lexicon)))
         clear = (F.col("rate") > CLEAR * F.col("next_a")) & (F.col("rate") > CLEAR * F.col("next_b"))
         mutual = ranked.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & clear & (F.col("sim") >= (ANCHOR_SIM if r else FIRST_SIM)))
-        concepts = materialize(mutual.select("pair", "sid_a", "sid_b"), "p2-concepts")
+        concepts = materialize(mutual.select(*PLACE, "sid_a", "sid_b"), "p2-concepts")
         last, lexicon = lexicon, materialize(_lexicon(concepts, a, b), "p2-lexicon")
         discard(concepts, *([last] if last is not None else []))
     return lexicon
 
 
-def _spans(cells: DataFrame, best: DataFrame, hosts: DataFrame, guests: DataFrame, one: str, many: str) -> DataFrame:
-    """(pair, sid_a, sid_b, sim): further counterparts of merged sentences of side `one`. A sentence of side `many` without partner
-    joins the window whose cosine to its host grows most by it; of several the best goes first, and the others are tried
+def _spans(free: DataFrame, best: DataFrame, hosts: DataFrame, guests: DataFrame, one: str, many: str) -> DataFrame:
+    """(pair, sid_a, sid_b, sim): further counterparts of merged sentences of side `one`; `free` are pairs of such a sentence, which
+    has a partner, and one of side `many` that has none. A sentence without partner joins the window whose cosine to its host grows most by it; of several the best goes first, and the others are tried
     again with the larger window. A window has each term once, as the merged sentence would."""
     host, guest = f"sid_{one}", f"sid_{many}"
-    key = [*PLACE, "host"]
-    free = cells.join(best.select("pair", guest), ["pair", guest], "left_anti").filter(F.col("sim") >= GUEST_SIM)
-    row = lambda df: df.select(*PLACE, F.col(host).alias("host"), F.col(guest).alias("guest"), "dot", F.col(f"norm_{many}").alias("norm"), "sim")
-    left = materialize(row(free).join(row(best).select(*key), key, "left_semi"), "p2-guests")
+    key = ["pair", "host"]
+    row = lambda df: df.select("pair", F.col(host).alias("host"), F.col(guest).alias("guest"), "dot", F.col(f"norm_{many}").alias("norm"), "sim")
+    left = materialize(row(free), "p2-guests")
     members = row(best).join(left.select(*key).distinct(), key, "left_semi")
-    asked = left.select(*PLACE, "guest").unionByName(members.select(*PLACE, "guest")).distinct()
-    vectors = materialize(guests.select(*PLACE, F.col("sid").alias("guest"), "term", "v").join(asked, [*PLACE, "guest"], "left_semi"), "p2-windows")
-    own = materialize(hosts.select(*PLACE, F.col("sid").alias("host"), "term", F.col("v").alias("x")).join(left.select(*key).distinct(), key, "left_semi"), "p2-windows")
+    vectors = guests.select("pair", F.col("sid").alias("guest"), "term", "v")
+    own = hosts.select("pair", F.col("sid").alias("host"), "term", F.col("v").alias("x"))
     state = members.select(*key, F.col("dot").alias("had"), (F.col("norm") * F.col("norm")).alias("square"))
-    window = members.select(*key, "guest").join(vectors, [*PLACE, "guest"]).select(*key, "term", F.col("v").alias("u"))
+    window = members.select(*key, "guest").join(vectors, ["pair", "guest"]).select(*key, "term", F.col("v").alias("u"))
     found = best.filter("false").select("pair", "sid_a", "sid_b", "sim")
     while not left.isEmpty():
-        met = left.select(*key, "guest").join(vectors, [*PLACE, "guest"]).join(window, [*key, "term"], "left").join(own, [*key, "term"], "left").fillna(0.0, ["u", "x"])
+        met = left.select(*key, "guest").join(vectors, ["pair", "guest"]).join(window, [*key, "term"], "left").join(own, [*key, "term"], "left").fillna(0.0, ["u", "x"])
         more = F.greatest(F.col("v") - F.col("u"), F.lit(0.0))
         grown = met.groupBy(*key, "guest").agg(F.sum(more * F.col("x")).alias("more"), F.sum(more * (more + 2 * F.col("u"))).alias("wider"))
         tried = left.join(state, key).join(grown, [*key, "guest"])
@@ -226,7 +240,7 @@ def _spans(cells: DataFrame, best: DataFrame, hosts: DataFrame, guests: DataFram
         if left.isEmpty():
             break
         state = taken.select(*key, F.col("had_new").alias("had"), F.col("square_new").alias("square"))
-        added = taken.select(*key, "guest").join(vectors, [*PLACE, "guest"]).select(*key, "term", F.col("v").alias("u"))
+        added = taken.select(*key, "guest").join(vectors, ["pair", "guest"]).select(*key, "term", F.col("v").alias("u"))
         window = materialize(window.join(taken.select(*key), key, "left_semi").unionByName(added).groupBy(*key, "term").agg(F.max("u").alias("u")), "p2-windows")
     return found
 

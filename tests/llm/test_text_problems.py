@@ -191,7 +191,7 @@ def test_blocks_change_nothing(spark, make_elements, monkeypatch):
 
 def test_all_translations_and_frequent_terms(spark):
     side = lambda ts: spark.createDataFrame([(1, 0, s, 7, t) for s in range(3) for t in ts], "pair bigint, block int, sid int, direction int, term bigint")
-    concepts = spark.createDataFrame([(1, s, s) for s in range(3)], "pair bigint, sid_a int, sid_b int")
+    concepts = spark.createDataFrame([(1, 0, s, s) for s in range(3)], "pair bigint, block int, sid_a int, sid_b int")
     got = bitext._lexicon(concepts, side([1]), side(range(10, 22))).collect()
     assert {x.as_term for r in got if r.term == 1 for x in r.to} == set(range(10, 22))
     t = spark.createDataFrame([(1, "a", "en", s, x) for s in range(40) for x in ("1", f"{100 + s}")], "pair bigint, side string, lang string, sid int, term string")
@@ -205,7 +205,7 @@ def test_merged_sentence_keeps_all_counterparts(spark):
     vector = lambda rows, name: spark.createDataFrame([(1, 0, s, 0.0, t, 1.0, len(ts) ** 0.5) for s, ts in rows.items() for t in ts], "pair bigint, block int, sid int, pos float, term bigint, v double, norm double")
     a, b = vector(x, "a"), vector({1: [1, 2, 3, 4]}, "b")
     cells = bitext._ranked(bitext._cells(a, b), 0.0)
-    got = bitext._spans(cells, cells.filter("sid_a = 1"), b, a, "b", "a").collect()
+    got = bitext._spans(cells.filter("sid_a > 1"), cells.filter("sid_a = 1"), b, a, "b", "a").collect()
     assert {(r.sid_a, r.sid_b) for r in got} in ({(k, 1) for k in (2, 3, 4)}, {(k, 1) for k in (2, 3, 4, 5)}, {(k, 1) for k in (2, 3, 5)})
     assert all(r.sid_a != 6 for r in got)
 
