@@ -18,7 +18,11 @@ SIZE_TOKENIZER = "byte_bpe_50k.json"
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     occurrences, _ = repeats.repeated_blocks(table(spark, d, "elements"), table(spark, d, "docs"))
-    return occurrences.filter(F.col("n_letters") >= repeats.MIN_LETTERS).select("doc_id", "page", "idx", "line_no").distinct()
+    return occurrences.select("doc_id", "page", "idx", "line_no").distinct()
+
+
+def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.block_counts(repeats.repeated_blocks(table(spark, d, "elements"), table(spark, d, "docs"))[1])
 
 
 def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +83,7 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p3_found, p4_found, p5_found, p5_bigrams, p6_found, p6_repaired, p7_found, p8_shares, p8_rows, p9_found, p9_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p3_found, p4_found, p5_found, p5_bigrams, p6_found, p6_repaired, p7_found, p8_shares, p8_rows, p9_found, p9_shapes)}
 
 
 # An independent account in SQL of the queries that SQL expresses in reasonable time.
@@ -92,6 +96,18 @@ k AS (SELECT l.*, d.source FROM l JOIN (SELECT DISTINCT doc_id, source FROM docs
 f AS (SELECT k.source, k FROM k JOIN s ON s.source = k.source GROUP BY 1, 2
       HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) >= 0.35 * any_value(s.n))
 """
+#: Blocks of up to four lines; longer ones count as four.
+BLOCKS = r"""
+WITH s AS (SELECT source, count(DISTINCT doc_id) AS n FROM docs WHERE source IS NOT NULL GROUP BY 1),
+e AS (SELECT DISTINCT ON (doc_id, page, idx) doc_id, page, idx, string_split(text, chr(10)) AS parts FROM elements WHERE text IS NOT NULL),
+l AS (SELECT doc_id, page, idx, i, regexp_replace(lower(parts[i]), '[^\p{L}]', '', 'g') AS k1 FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM e)),
+q AS (SELECT doc_id, row_number() OVER w AS pos, k1, k1 || '|' || lead(k1, 1) OVER w AS k2, k1 || '|' || lead(k1, 1) OVER w || '|' || lead(k1, 2) OVER w AS k3,
+  k1 || '|' || lead(k1, 1) OVER w || '|' || lead(k1, 2) OVER w || '|' || lead(k1, 3) OVER w AS k4 FROM l WHERE k1 <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY page, idx, i)),
+g AS (SELECT q.*, d.source FROM q JOIN (SELECT DISTINCT doc_id, source FROM docs WHERE source IS NOT NULL) d USING (doc_id)),
+f AS (SELECT source, k FROM (SELECT doc_id, source, unnest([k1, k2, k3, k4]) AS k FROM g) JOIN s USING (source) WHERE k IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) >= 0.35 * any_value(n)),
+b AS (SELECT source, doc_id, CASE WHEN (source, k4) IN (SELECT (source, k) FROM f) THEN 4 WHEN (source, k3) IN (SELECT (source, k) FROM f) THEN 3 WHEN (source, k2) IN (SELECT (source, k) FROM f) THEN 2 WHEN (source, k1) IN (SELECT (source, k) FROM f) THEN 1 END AS depth, k1, k2, k3, k4 FROM g)
+SELECT source, depth, count(DISTINCT CASE depth WHEN 4 THEN k4 WHEN 3 THEN k3 WHEN 2 THEN k2 ELSE k1 END) AS blocks, count(*) AS places, count(DISTINCT doc_id) AS docs FROM b WHERE depth IS NOT NULL GROUP BY 1, 2
+"""
 WORDS = r"""
 WITH e AS (SELECT DISTINCT ON (doc_id, page, idx) doc_id, page, idx, sentences FROM elements WHERE len(sentences) > 0),
 s AS (SELECT row_number() OVER () AS sid, doc_id, page, idx, s FROM (SELECT doc_id, page, idx, unnest(sentences) AS s FROM e)),
@@ -102,6 +118,7 @@ a AS (SELECT sid, doc_id, page, idx, regexp_extract_all(lower(s), '[a-z](?:[a-z'
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1 + "SELECT DISTINCT doc_id, page, idx, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (source, k)",
+        "p1_blocks": BLOCKS,
         "p1_cleaned": P1
         + """, g AS (SELECT doc_id, page, idx, list(DISTINCT line_no) AS l FROM k JOIN f USING (source, k) GROUP BY 1, 2, 3), e AS (SELECT DISTINCT ON (doc_id, page, idx) doc_id, page, idx, text FROM elements)
 SELECT e.doc_id, e.page, e.idx, CASE WHEN l IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(l, i - 1)), chr(10)) END AS text

@@ -31,11 +31,37 @@ def test_blocks_span_lines(spark, make_elements):
                       {"doc_id": 9, "idx": 0, "text": NOTICE}, {"doc_id": 6, "idx": 0, "text": None}, {"doc_id": 7, "idx": 0, "text": ""}, {"doc_id": 5, "idx": 0, "text": LONG}, {"doc_id": 77, "idx": 0, "text": NOTICE})
     found, blocks = repeats.repeated_blocks(e, d)
     assert sorted((r.doc_id, r.line_no) for r in found.collect()) == sorted((i, n) for i in range(4) for n in (1, 2))
-    assert sorted((r.depth, r.docs) for r in blocks.collect()) == [(1, 4), (1, 4), (2, 4)]
+    assert sorted((r.doc_id, r.depth) for r in blocks.collect()) == sorted((i, n) for i in range(4) for n in (4, 3, 2, 1))  # Own and Tail stand in all
+    assert sorted((r.depth, r.blocks, r.places, r.docs) for r in repeats.block_counts(blocks).collect()) == [(n, 1, 4, 4) for n in (1, 2, 3, 4)]
     clean = {r.doc_id: r.text for r in repeats.without_repeats(e.dropDuplicates(["doc_id"]), found).collect()}
     assert clean[1] == "Own 1\nTail" and clean[6] is None and clean[7] == "" and clean[9] == NOTICE
 
 
+def test_longest_blocks_against_brute_force(spark, make_elements):
+    """Blocks run over elements and pages, lines without letters in between don't part them."""
+    rng = random.Random(8)
+    rows, seqs = [], {}
+    for i in range(9):
+        seq = [rng.choice("abc") * 30 for _ in range(12)]
+        if i % 2:
+            seq[3:8] = ["p" * 30, "q", "r" * 31, "s" * 30, "t" * 40]
+        seqs[i] = seq
+        for j, x in enumerate(seq):
+            rows.append({"doc_id": i, "page": 1 + j // 5 * 3000, "idx": j % 5, "text": x.upper() + "\n12 -"})
+    source = lambda i: "s" if i < 6 else "t"
+    found, blocks = repeats.repeated_blocks(make_elements(*rows, *rows[:30]), docs(spark, *[(i, source(i), 0) for i in range(9)]))
+    want = {}
+    for i, seq in seqs.items():
+        for p in range(12):
+            holds = lambda n: sum(source(o) == source(i) and any(other[k : k + n] == seq[p : p + n] for k in range(13 - n)) for o, other in seqs.items())
+            longest = max((n for n in range(1, 13 - p) if holds(n) >= 3), default=0)
+            if longest:
+                want[i, p] = longest
+    assert {(r.doc_id, r.pos): r.depth for r in blocks.collect()} == want and max(want.values()) >= 5
+    inside = {(i, p + k) for (i, p), n in want.items() for k in range(n) if len(seqs[i][p + k]) >= 30}
+    assert {(r.doc_id, r.pos) for r in found.collect()} == inside
+
+
 def test_share_and_count(spark, make_elements):
     line = "x" * 30
     for n_docs, holders, hit in ((3, 2, False), (3, 3, True), (10, 3, False), (8, 3, True), (20, 7, True), (21, 7, False)):
