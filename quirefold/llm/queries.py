@@ -43,6 +43,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "elements"))
 
 
+def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.consistent_text(table(spark, d, "elements")).filter("changed").select("doc_id", "page", "idx", "canonical")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.marked_words(table(spark, d, "elements"), table(spark, d, "dictionary"))
 
@@ -83,7 +87,7 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p3_found, p4_found, p5_found, p5_bigrams, p6_found, p6_repaired, p7_found, p8_shares, p8_rows, p9_found, p9_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p3_found, p4_found, p4_consistent, p5_found, p5_bigrams, p6_found, p6_repaired, p7_found, p8_shares, p8_rows, p9_found, p9_shapes)}
 
 
 # An independent account in SQL of the queries that SQL expresses in reasonable time.

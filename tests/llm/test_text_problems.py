@@ -42,7 +42,7 @@ def test_trie():
     for w, n in (("Где", 5), ("Гдe", 1), ("дом", 2)):
         t.add(w, n)
     assert {x[1] for x in t.search("Гдe​")} == {"Гдe", "Где"}
-    assert lookalike.canonical(t, "Гдe") == "Где" and lookalike.canonical(t, "рaypal") == "paypal"
+    assert lookalike.canonical(t, "Гдe", "LATIN") == "Где" and lookalike.canonical(t, "рaypal", "LATIN") == "paypal" and lookalike.canonical(t, "cop", "CYRILLIC") == "сор"
     assert {x[1] for x in t.search("дум", 1)} == {"дом"} and not t.search("дум")
 
 
@@ -59,6 +59,14 @@ def test_pairs(spark, make_elements):
     assert lookalike.lookalike_pairs(make_elements()).count() == 0
 
 
+def test_scripts_survive(spark, make_elements):
+    """Letters of a script stay in it, tokens of nothing but look-alikes follow their neighbours."""
+    cases = {"Где оса и у а с о поэтому": None, "поэтoм она": "поэтом она", "oна у нас": "она у нас", "the оса is here": "the oca is here", "слово cop и дом": "слово сор и дом", "Ελενη ο Τομ": None, "Ζeldogate tо": "Zeldogate to", "a о": "a o"}
+    e = make_elements(*[{"doc_id": 1, "idx": i, "text": t} for i, t in enumerate(cases)])
+    got = {r.text: r.canonical for r in lookalike.consistent_text(e).collect()}
+    assert got == {t: c or t for t, c in cases.items()}
+
+
 # --- sentence boundaries ---
 
 UNITS = {
