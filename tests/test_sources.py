@@ -90,3 +90,14 @@ def test_stream(spark, make_elements, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r.characters) for r in spark.table("vol").collect()] == [(3, 5)]
+
+
+def test_rows_once(spark, monkeypatch):
+    from quirefold import session
+    from quirefold.sources import tables
+
+    df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "b", "y"), (None, "c", "z")], "doc_id bigint, text string, n string")
+    for limit in (session.BROADCAST_LIMIT, -1):
+        monkeypatch.setattr(tables, "is_small", lambda t, limit=limit: limit > 0)
+        assert sorted(r.doc_id for r in tables.rows_once(df, ["doc_id"]).collect()) == [1, 2]
+    assert tables.rows_once(df.filter("doc_id = 2"), ["doc_id"]).count() == 1 and tables.rows_once(df.limit(0), ["doc_id"]).count() == 0
