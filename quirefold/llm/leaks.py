@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm.lookalike import by_table
-from quirefold.session import join_hot, materialize, small
+from quirefold.session import is_small, join_hot, materialize, small
 
 RUN, GRAM = 14, 5
 #: Item n-grams held by each task at most; about 100 bytes each.
 GRAM_LIMIT = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words that a window of an edited copy has; share of an item's score from which a copy counts as one.
+EDITED, LEAST_SHARE = 7, 0.5
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -137,5 +139,19 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, n: int = GRAM)
     wanted = set(seeds.select("gram").distinct().toPandas().gram.tolist()) if few is not None else None
     found = docs.mapInPandas(_locate(wanted, n), "doc_id bigint, gram bigint")
     pairs = join_hot(found, seeds, ["gram"], salt_from=["doc_id"]).select("doc_id", "item_id").distinct()
+    pairs = materialize(pairs, "p7-pairs")
+    held = pairs.select("doc_id").distinct()
+    # texts of candidates only are shuffled: ids that are few are broadcast, of many a Bloom filter is made by the planner
+    texts = docs.join(F.broadcast(held) if is_small(pairs) else held, "doc_id", "left_semi")
     with_item = join_hot(pairs, items.withColumnRenamed("text", "item_text"), ["item_id"], salt_from=["doc_id"])
-    return with_item.join(docs, "doc_id").mapInPandas(_score, "doc_id bigint, item_id bigint, score bigint, run bigint, item_words bigint")
+    return with_item.join(texts, "doc_id").mapInPandas(_score, "doc_id bigint, item_id bigint, score bigint, run bigint, item_words bigint")
+
+
+def leak_scores(documents: DataFrame, items: DataFrame, window: int = EDITED, share: float = LEAST_SHARE) -> DataFrame:
+    """(doc_id, item_id, score, share, run, item_words): documents that hold an item or a copy of it with edits, by the alignment.
+
+    share is the score over that of the whole item; pairs with `share` or more are given, and those with a run of RUN equal
+    words. Seeds are the rarest n-grams of windows of `window` words, so that a copy is found that is unchanged over one
+    window at least."""
+    found = leaks(documents, items, window).withColumn("share", F.round(F.col("score") / F.greatest(F.col("item_words") * MATCH, F.lit(1)), 4))
+    return found.filter((F.col("share") >= share) | (F.col("run") >= RUN)).select("doc_id", "item_id", "score", "share", "run", "item_words")

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.session import join_hot, materialize
+from quirefold.session import discard, join_hot, materialize
+from quirefold.sources.tables import rows_once
 
 #: Bits of the hash that place a row, and bits that each round of the histogram resolves.
 BITS, STEP = 60, 10
@@ -45,7 +46,7 @@ def _count_tokens(path: str):
 def token_sizes(documents: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, source, place, tokens): whole texts counted by the tokenizer in file `tokenizer`. Null texts have size 0;
     rows without a source keep it null; a doc_id given twice counts once."""
-    rows = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
+    rows = rows_once(documents.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"])
     placed = rows.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITS))
     return placed.select("doc_id", "source", "place", "text").mapInPandas(_count_tokens(tokenizer), "doc_id bigint, source string, place bigint, tokens bigint")
 
@@ -57,6 +58,9 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     for done in range(0, BITS, STEP):
         shift = BITS - done - STEP
         inside = join_hot(sizes, state, ["source"], salt_from=["place"]).filter(F.shiftright("place", shift + STEP) == F.shiftright("low", shift + STEP))
+        if done == STEP:  # from here on only the rows of the boundary buckets are read
+            boundary = materialize(inside.select(*sizes.columns), "p8-boundary")
+            sizes, inside = boundary, join_hot(boundary, state, ["source"], salt_from=["place"])
         cells = inside.groupBy("source", "part", "low", "taken", F.shiftright("place", shift).alias("cell")).agg(F.sum("tokens").alias("tokens"))
         # 2^STEP cells a source at most: the running sum is over cells, never over rows
         upto = cells.withColumn("upto", F.col("taken") + F.sum("tokens").over(Window.partitionBy("source").orderBy("cell")))
@@ -64,11 +68,12 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
             F.max(F.when(F.col("upto") <= F.col("part"), F.col("upto"))).alias("upto"), F.min(F.when(F.col("upto") > F.col("part"), F.col("cell"))).alias("cell")
         )
         joined = state.join(fits, "source", "left")
-        state = materialize(joined.select(
+        last, state = state, materialize(joined.select(
             "source", "part",
             F.when(F.col("cell").isNull(), F.shiftleft(F.shiftright("low", shift + STEP) + 1, shift + STEP) - F.when(F.lit(shift > 0), F.lit(1)).otherwise(F.lit(0))).otherwise(F.shiftleft("cell", shift)).cast("bigint").alias("low"),
             F.coalesce("upto", "taken").alias("taken"),
         ), "p8-thresholds")
+        discard(last)
     return state.select("source", F.col("low").alias("threshold"))
 
 

@@ -39,6 +39,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return segment.sentence_ends(table(spark, d, "elements"))
 
 
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    cut = segment.to_cut(table(spark, d, "elements"))
+    filled = segment.with_sentences(cut.withColumns({"kind": F.lit("text"), "sentences": F.lit(None).cast("array<string>")}))
+    return filled.select("doc_id", "page", "idx", F.posexplode("sentences").alias("sent", "sentence"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "elements"))
 
@@ -56,6 +62,10 @@ def p5_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return counts.filter("n = 2").select("term", "occurrences", "records")
 
 
+def p5_terms(spark: SparkSession, d: str) -> DataFrame:
+    return terms.term_counts(table(spark, d, "elements"), depth=1).filter("n = 1").select("term", "occurrences", "records")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_noise(table(spark, d, "elements"), table(spark, d, "pages_geo"))
 
@@ -69,6 +79,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.filter(F.col("run") >= leaks.RUN).select("doc_id", "item_id")
 
 
+def p7_scored(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_scores(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), f"{TOKENIZERS}/{SIZE_TOKENIZER}")[1]
 
@@ -87,7 +101,7 @@ def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p3_found, p4_found, p4_consistent, p5_found, p5_bigrams, p6_found, p6_repaired, p7_found, p8_shares, p8_rows, p9_found, p9_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p3_found, p3_sentences, p4_found, p4_consistent, p5_found, p5_terms, p5_bigrams, p6_found, p6_repaired, p7_found, p7_scored, p8_shares, p8_rows, p9_found, p9_shapes)}
 
 
 # An independent account in SQL of the queries that SQL expresses in reasonable time.
@@ -132,6 +146,8 @@ FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.page = e.page AND g.idx = e.idx"
 d AS (SELECT DISTINCT lower(trim(word, ' ' || chr(9) || chr(10) || chr(13))) AS word FROM dictionary WHERE trim(word, ' ' || chr(9) || chr(10) || chr(13)) <> '')
 SELECT word, 'rare' AS mark FROM k WHERE n <= 2 UNION ALL SELECT word, 'common' FROM k WHERE n > 0.1 * (SELECT count(*) FROM e)
 UNION ALL SELECT word, 'unseen' FROM d WHERE word NOT IN (SELECT word FROM k)""",
+        "p5_terms": WORDS
+        + """, w AS (SELECT unnest(ws) AS term, doc_id, page, idx FROM a) SELECT term, count(*) AS occurrences, count(DISTINCT (doc_id, page, idx)) AS records FROM w GROUP BY 1""",
         "p5_bigrams": WORDS
         + """, b AS (SELECT doc_id, page, idx, ws[i] || ' ' || ws[i + 1] AS term FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM a))
 SELECT term, count(*) AS occurrences, count(DISTINCT (doc_id, page, idx)) AS records FROM b GROUP BY 1""",

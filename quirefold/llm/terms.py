@@ -76,14 +76,15 @@ def count_ngrams(ids: np.ndarray, records: np.ndarray, depth: int, emit: tuple[i
         yield n, sa[live[starts]], occ, occ - dup
 
 
-def _batches(batches: Iterator[pa.RecordBatch], seen: set) -> Iterator[list[list[str]]]:
-    held, size = [], 0
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[str]]]:
+    """Records of about BATCH_CHARS characters, of each key the first; rows are sorted by key."""
+    held, size, last = [], 0, None
     for b in batches:
-        keys = b.column("_key").to_numpy(zero_copy_only=False)
+        keys = zip(*(b.column(c).to_pylist() for c in ("doc_id", "page", "idx")))
         for k, s in zip(keys, b.column("sentences").to_pylist()):
-            if k in seen:
+            if k == last:
                 continue
-            seen.add(k)
+            last = k
             s = [x for x in s if x]
             held.append(s)
             size += sum(map(len, s))
@@ -96,7 +97,7 @@ def _batches(batches: Iterator[pa.RecordBatch], seen: set) -> Iterator[list[list
 
 def _count(depth: int, emit: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for records in _batches(batches, set()):
+        for records in _batches(batches):
             vocab: dict[str, int] = {}
             ids: list[int] = []
             lens = np.zeros(len(records), np.int64)
@@ -128,8 +129,9 @@ def term_counts(elements: DataFrame, depth: int = 2, emit: tuple[int, ...] = (1,
     An element delivered more than once counts once. Null sentences inside an array are ignored; n-grams don't cross
     sentences. A word is a longest run of ASCII letters, apostrophes and hyphens that begins and ends with a letter, after
     lower-casing. An empty table gives no rows."""
-    rows = elements.filter(F.size("sentences") > 0).select(F.xxhash64("doc_id", "page", "idx").alias("_key"), "sentences")
-    partial = rows.repartition("_key").mapInArrow(_count(depth, emit), SCHEMA)
+    key = ["doc_id", "page", "idx"]
+    rows = elements.filter(F.size("sentences") > 0).select(*key, "sentences")
+    partial = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_count(depth, emit), SCHEMA)
     return partial.groupBy("term", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
