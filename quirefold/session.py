@@ -155,8 +155,6 @@ def frequent(count: str, least: int | None) -> Column:
 
 def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
     """At most `most` rows of df with the largest counts, by a threshold: a histogram of counts finds it, so that no task
-    holds more than the result. Rows of the count at the threshold come in whole or not at all, unless that is the largest."""
-    least, _ = least_frequent(df, count, most)
-    if least is None:  # the largest count alone has more rows
-        return df.orderBy(F.col(count).desc(), *[c for c in df.columns if c != count]).limit(most)
-    return df.filter(frequent(count, least))
+    holds more than the result. Rows of the count at the threshold come in whole or not at all; if the largest count alone
+    has more rows, there are none. For what a task may hold, the rest being joined."""
+    return df.filter(frequent(count, least_frequent(df, count, most)[0]))
