@@ -10,7 +10,8 @@ Running heads are lines at a page's head or foot, and first or last lines of its
 allowed. Words cut at a line's end are rejoined unless the lexicon knows them with the hyphen.
 
 Two passes over the text: one counts, one emits only heads, feet, cut words and words that aren't known to be good. What a
-task holds is bounded: KNOWN good words and COMPOUNDS hyphenated ones; everything else is joined.
+task holds is bounded, the KNOWN most frequent good words; whether other words are good, whether a hyphen belongs to its
+word, and what stands between neighbours is decided by joins with the lexicon and the bigrams, for all of them.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ KEY = ["doc_id", "page", "idx"]
 PAGE_SIZED, HEAD, FOOT = 0.8, 0.1, 0.9
 #: Pages within which a running head comes again.
 REACH = 8
-#: Words known to be good and hyphenated words that a task holds; rarer ones are looked up by joins.
-KNOWN, COMPOUNDS = 100_000, 50_000
+#: Words known to be good that a task holds, and words whose bigrams are asked for; beyond that they are joined.
+KNOWN = 100_000
 #: Least count of a word that corrects others; times it must be as frequent; largest weighted distance.
 LEAST_COUNT, RATIO, LARGEST = 5, 8, 0.65
 #: Largest share of a misread word's occurrences, by rate, outside scanned documents.
@@ -118,7 +119,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = Counter(_WORD.findall(whole))
             counts.update(_COMPOUND.findall(whole))
             for w, n in counts.items():
-                if len(w) <= 40 and not w.isdigit():
+                if not w.isdigit():
                     out.setdefault(w, [0, 0])[flag] = n
         yield pa.RecordBatch.from_pydict({"word": list(out), "clean": [v[0] for v in out.values()], "scan": [v[1] for v in out.values()]}, schema=pa.schema([("word", pa.string()), ("clean", pa.int64()), ("scan", pa.int64())]))
 
@@ -144,7 +145,7 @@ def corrections(words: DataFrame) -> DataFrame:
     """(bad, good, n_bad, n_good, cost): words that are misreadings of far more frequent ones.
 
     Words of digits with letters need a word RATIO / 2 times as frequent, words of letters RATIO times, or four times
-    that if two confusions are needed or the word has at most four letters. A single digit among four letters or more needs
+    that if two confusions are needed or the word has at most four letters. A word has 2 to 40 signs; longer runs are none. A single digit among four letters or more needs
     none. Words that stand in documents that were not
     scanned at nearly the rate of the scanned ones, and Roman numerals, are no misreadings."""
     sums = words.groupBy().agg(F.sum("clean").alias("a"), F.sum("scan").alias("b")).first()
@@ -171,10 +172,10 @@ SCHEMA = "doc_id bigint, page int, idx int, what string, word string, other stri
 _ARROW = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("idx", pa.int32()), ("what", pa.string()), ("word", pa.string()), ("other", pa.string()), ("place", pa.float64())])
 
 
-def _traces(known: set, compounds: dict, firsts: set):
-    """Per element: `line`, a line that may be a running head (place: relative y, other: whole, first or last); `cut`, a word
-    cut inside (word, other: its parts); `open`, a word cut at the end; `first`, the first word; `odd`, a word not known to
-    be good (other: its neighbours)."""
+def _traces(known: set):
+    """Per element: `line`, a line that may be a running head (place: relative y, other: whole, first or last); `hyphen`, a word
+    with a hyphen at a line's end (word, other: its parts); `open`, one at the end; `first`, the first word; `odd`, a word
+    not known to be good (other: its neighbours)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +188,7 @@ def _traces(known: set, compounds: dict, firsts: set):
                 if not lines:
                     continue
                 alone = len(lines) == 1
-                if alone and len(text) <= 120 and (bottom < 2 * HEAD or top > 1 - 2 * (1 - FOOT)):
+                if alone and (bottom < 2 * HEAD or top > 1 - 2 * (1 - FOOT)):
                     rows.append((d, p, i, "line", lines[0], "whole", bottom if bottom < 0.5 else top))
                     if PAGE_NUMBER.match(lines[0]):
                         continue
@@ -197,14 +198,10 @@ def _traces(known: set, compounds: dict, firsts: set):
                     if bottom > 0.7:
                         rows.append((d, p, i, "line", lines[-1], "last", bottom))
                 if _HYPHENS.search(text):
-                    for m in _CUT.finditer(text):
-                        left, right = m.group(1).lower(), m.group(2).lower()
-                        if compounds.get(f"{left}-{right}", 0) <= known.get(left + right, 0) if f"{left}-{right}" in compounds else True:
-                            rows.append((d, p, i, "cut", left, right, None))
-                            break
+                    rows += [(d, p, i, "hyphen", a, b, None) for a, b in {(m[1].lower(), m[2].lower()) for m in _CUT.finditer(text)}]
                     m = _CUT_END.search(text)
                     if m:
-                        rows.append((d, p, i, "open" if m.group(1).lower() in firsts else "cut", m.group(1).lower(), None, None))
+                        rows.append((d, p, i, "open", m.group(1).lower(), None, None))
                 body = _joined(text)
                 if _HYPHENS.match(body.rstrip()[-1:]):
                     body = _CUT_END.sub("", body)
@@ -258,6 +255,17 @@ def headers(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return nums.unionByName(heads.select(*KEY, F.lit("header").alias("noise"), F.lit("whole").alias("where"))).unionByName(inside).distinct()
 
 
+def _hyphens(traces: DataFrame, good: DataFrame) -> DataFrame:
+    """(key, word, cut): words with a hyphen at a line's end, and whether it cuts them: the lexicon doesn't know the word with
+    the hyphen, or knows it without as well at least."""
+    asked = traces.filter("what = 'hyphen'").select(*KEY, F.concat("word", F.lit("-"), "other").alias("word"), F.concat("word", "other").alias("whole"))
+    words = asked.select(F.explode(F.array("word", "whole")).alias("word")).distinct()
+    known = materialize(words.join(good.filter("n >= 2").select("word", "n"), "word"), "p6-hyphenated")
+    own = join_hot(asked, known.withColumnRenamed("n", "own"), ["word"], "left", salt_from=KEY)
+    both = join_hot(own, known.withColumnsRenamed({"word": "whole", "n": "joined"}), ["whole"], "left", salt_from=KEY)
+    return both.select(*KEY, "word", (F.col("own").isNull() | (F.col("own") <= F.coalesce("joined", F.lit(0)))).alias("cut"))
+
+
 def _open_cuts(traces: DataFrame, known_pairs: DataFrame) -> DataFrame:
     """Words open at an element's end whose hyphen is not their own: the next element of the text begins with their rest."""
     opened = traces.filter("what = 'open'").select(*KEY, "word")
@@ -271,7 +279,7 @@ def _open_cuts(traces: DataFrame, known_pairs: DataFrame) -> DataFrame:
 
 def after_cuts(traces: DataFrame) -> DataFrame:
     """Elements before which a word was cut: the text element before them, on the page or at the end of the page before, ends with a hyphen."""
-    ends = traces.filter("what in ('cut', 'open') and other is null").select(*KEY).distinct().withColumn("cut", F.lit(1))
+    ends = traces.filter("what = 'open'").select(*KEY).distinct().withColumn("cut", F.lit(1))
     bodies = traces.filter("what = 'first' and other is null").select(*KEY).join(ends, KEY, "left")
     order = Window.partitionBy("doc_id", "page").orderBy("idx")
     placed = bodies.withColumn("before", F.lag(F.coalesce("cut", F.lit(0))).over(order))
@@ -279,33 +287,30 @@ def after_cuts(traces: DataFrame) -> DataFrame:
     return placed.join(last, ["doc_id", "page"], "left").filter(F.coalesce("before", "page_before") == 1).select(*KEY)
 
 
-def scan_traces(elements: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
-    """(traces, lexicon, corrections, hyphenated words known), the tables written to the shared folder; see scan_noise."""
+def scan_traces(elements: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(traces, lexicon, corrections, good words with counts), tables written to the shared folder; see scan_noise."""
     scanned = materialize(scanned_documents(elements, pages), "p6-scanned")
     texts = elements.filter("kind = 'text' and text is not null").select(*KEY, "text", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"))
     flagged = join_hot(texts, scanned.withColumn("scanned", F.lit(1)), ["doc_id"], "left", salt_from=["page", "idx"])
     words = materialize(lexicon(flagged), "p6-lexicon")
     fixes = materialize(corrections(words), "p6-corrections")
-    good = words.join(fixes.select(F.col("bad").alias("word")).distinct(), "word", "left_anti").withColumn("n", F.col("clean") + F.col("scan"))
-    # both bounded
-    known = {r[0]: r[1] for r in most_frequent(good.filter("n >= 2 and not word like '%-%'").select("word", "n"), "n", KNOWN).collect()}
-    compounds = {r[0]: r[1] for r in most_frequent(good.filter("n >= 2 and word like '%-%'").select("word", "n"), "n", COMPOUNDS).collect()}
-    firsts = {c.split("-")[0] for c in compounds}
+    good = materialize(words.join(fixes.select(F.col("bad").alias("word")).distinct(), "word", "left_anti").select("word", (F.col("clean") + F.col("scan")).alias("n")), "p6-good")
+    known = {r[0] for r in most_frequent(good.filter("n >= 2 and not word like '%-%'"), "n", KNOWN).select("word").collect()}
     rows = flagged.filter("scanned = 1").select(*KEY, "text", "y0", "y1", F.col("doc_height").alias("h"))
-    traces = rows.mapInArrow(_traces(known, compounds, firsts), SCHEMA)
+    traces = rows.mapInArrow(_traces(known), SCHEMA)
     traces = join_hot(traces, scanned.select("doc_id", F.col("doc_height").alias("h")), ["doc_id"], "left", salt_from=["page", "idx"])
-    return materialize(traces, "p6-traces"), words, fixes, compounds
+    return materialize(traces, "p6-traces"), words, fixes, good
 
 
-def _count_bigrams(near: set):
-    """Bigrams of a batch with a word of `near`."""
+def _count_bigrams(near: set | None):
+    """Bigrams of a batch with a word of `near`, or all."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out: Counter = Counter()
             for t in f.text:
                 ws = _WORD.findall(_joined(t).lower())
-                out.update((a, b) for a, b in zip(ws, ws[1:]) if a in near or b in near)
+                out.update((a, b) for a, b in zip(ws, ws[1:]) if near is None or a in near or b in near)
             yield pd.DataFrame([(a, b, n) for (a, b), n in out.items()], columns=["left", "right", "n"])
 
     return run
@@ -313,15 +318,15 @@ def _count_bigrams(near: set):
 
 def chosen_corrections(traces: DataFrame, fixes: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, bad, good): the correction of each misread word in each element. Of several the one that stands best between
-    its neighbours by bigram counts, with the smaller distance, the larger count. The words in question are KNOWN at most;
-    beyond that the rarer ones are decided without bigrams."""
+    its neighbours by bigram counts, with the smaller distance, the larger count. Of at most KNOWN words in question the
+    bigrams are counted apart; of more, those of all words are."""
     odd = _odd_words(traces, fixes.select("bad", "good", "n_good", "cost"), "inner")
     side = lambda i: F.split("other", " ").getItem(i)
     odd = odd.withColumns({"left": side(0), "right": side(1)})
     twice = fixes.groupBy("bad").agg(F.count("*").alias("n")).filter("n > 1")
-    asked = most_frequent(fixes.join(twice.select("bad"), "bad", "left_semi").groupBy("good").agg(F.max("n_good").alias("n")), "n", KNOWN)
-    near = {r[0] for r in asked.select("good").collect()}
-    pairs = texts.select("text").mapInPandas(_count_bigrams(near), "left string, right string, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n")) if near else None
+    asked = [r[0] for r in fixes.join(twice.select("bad"), "bad", "left_semi").select("good").distinct().limit(KNOWN + 1).collect()]  # to decide between the two ways only
+    near = set(asked) if len(asked) <= KNOWN else None
+    pairs = texts.select("text").mapInPandas(_count_bigrams(near), "left string, right string, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n")) if asked else None
     if pairs is None:
         scored = odd.withColumn("fit", F.lit(0.0))
     else:
@@ -334,8 +339,8 @@ def chosen_corrections(traces: DataFrame, fixes: DataFrame, texts: DataFrame) ->
     return scored.groupBy(*KEY, "bad").agg(F.max(best).alias("b")).select(*KEY, "bad", "b.good")
 
 
-def mended(text: str, where: set[str], fixes: dict[str, str], compounds: set[str]) -> str:
-    """A text without its heads and page number, cut words rejoined, misread words corrected in their case, lines joined."""
+def mended(text: str, where: set[str], fixes: dict[str, str], own: set[str]) -> str:
+    """A text without its heads and page number, cut words rejoined but those of `own`, misread words corrected in their case, lines joined."""
     if "whole" in where:
         return ""
     lines = [x for x in text.split("\n")]
@@ -343,7 +348,7 @@ def mended(text: str, where: set[str], fixes: dict[str, str], compounds: set[str
     drop = {said[0]} if "first" in where and said else set()
     drop |= {said[-1]} if "last" in where and said else set()
     out = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-    keep = lambda m: f"{m[1]}-{m[2]}" if f"{m[1]}-{m[2]}".lower() in compounds else m[1] + m[2]
+    keep = lambda m: f"{m[1]}-{m[2]}" if f"{m[1]}-{m[2]}".lower() in own else m[1] + m[2]
     out = _CUT.sub(keep, out)
 
     def fix(m: re.Match) -> str:
@@ -356,29 +361,26 @@ def mended(text: str, where: set[str], fixes: dict[str, str], compounds: set[str
     return re.sub(r"[ \t]*\n[ \t]*", " ", _WORD.sub(fix, out)).strip()
 
 
-def _mend(compounds: set[str]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = []
-            for t, w, c in zip(f.text, f["where"], f.fixes):
-                texts.append(mended(t, set(w if w is not None else ()), {x["bad"]: x["good"] for x in (c if c is not None else ())}, compounds))
-            yield f[[*KEY, "y0", "x0"]].assign(repaired=texts)
-
-    return run
+def _mend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    some = lambda x: x if x is not None else ()
+    for f in frames:
+        texts = [mended(t, set(some(w)), {x["bad"]: x["good"] for x in some(c)}, set(some(o))) for t, w, c, o in zip(f.text, f["where"], f.fixes, f.own)]
+        yield f[[*KEY, "y0", "x0"]].assign(repaired=texts)
 
 
 def repaired_paragraphs(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, idx, text, elements): paragraphs of scanned documents, repaired. An element that doesn't end a
     sentence goes on with the next text element of its page, a word cut between them is made whole; idx is that of the
     first element. Page numbers and running heads are left out. Elements without text, and other documents, give no row."""
-    traces, words, fixes, compounds = scan_traces(elements, pages)
+    traces, words, fixes, good = scan_traces(elements, pages)
     where = headers(traces.filter("what = 'line'"), pages).groupBy(*KEY).agg(F.collect_set("where").alias("where"))
     texts = elements.filter("kind = 'text' and text is not null")
     chosen = chosen_corrections(traces, fixes, texts).groupBy(*KEY).agg(F.collect_list(F.struct("bad", "good")).alias("fixes"))
     scanned = traces.select("doc_id").distinct()
     rows = join_hot(texts.select(*KEY, "text", F.col("bbox.y0").alias("y0"), F.col("bbox.x0").alias("x0")), scanned, ["doc_id"], "left_semi", salt_from=["page", "idx"]).dropDuplicates(KEY)
-    rows = rows.join(where, KEY, "left").join(chosen, KEY, "left")
-    done = rows.mapInPandas(_mend(set(compounds)), "doc_id bigint, page int, idx int, y0 double, x0 double, repaired string").filter("repaired <> ''")
+    own = _hyphens(traces, good).filter("not cut").groupBy(*KEY).agg(F.collect_set("word").alias("own"))
+    rows = rows.join(where, KEY, "left").join(chosen, KEY, "left").join(own, KEY, "left")
+    done = rows.mapInPandas(_mend, "doc_id bigint, page int, idx int, y0 double, x0 double, repaired string").filter("repaired <> ''")
     order = Window.partitionBy("doc_id", "page").orderBy("idx")
     before = F.lag("repaired").over(order)
     ended = before.isNull() | before.rlike("[.!?…。！？][\"'”’»)\\]]*\\s*$")
@@ -401,10 +403,10 @@ def scan_noise(elements: DataFrame, pages: DataFrame) -> DataFrame:
 
     Null and blank texts have none; elements without bbox are never heads; repeated deliveries count once; documents
     without page sizes are judged by their other pages, or are not taken for scanned."""
-    traces, words, fixes, _ = scan_traces(elements, pages)
+    traces, words, fixes, good = scan_traces(elements, pages)
     heads = materialize(headers(traces.filter("what = 'line'"), pages), "p6-heads")
     pairs = words.filter("word like '%-%' and clean + scan >= 2").select("word")
-    cut = traces.filter("what = 'cut'").select(*KEY).unionByName(_open_cuts(traces, pairs)).select(*KEY, F.lit("hyphen").alias("noise"))
+    cut = _hyphens(traces, good).filter("cut").select(*KEY).unionByName(_open_cuts(traces, pairs)).select(*KEY, F.lit("hyphen").alias("noise"))
     numbers = heads.filter("noise = 'pagenum'").select(*KEY)
     bad = _odd_words(traces, fixes, "left_semi").select(*KEY).distinct().join(numbers, KEY, "left_anti").select(*KEY, F.lit("misread").alias("noise"))
     return heads.drop("where").unionByName(cut).unionByName(bad).distinct()

@@ -260,6 +260,15 @@ def test_scan_noise(spark, scanned):
     assert not [r for r in scans.scan_noise(scanned, pages).collect() if r.doc_id == 2]
 
 
+def test_held_words_change_nothing(spark, scanned, monkeypatch):
+    """What a task holds decides nothing: hyphens, misreadings and choices are the same with one word in tasks."""
+    pages = spark.createDataFrame([(d, p, 500.0, 700.0) for d in (1, 2) for p in range(1, 7)], "doc_id bigint, page int, width double, height double")
+    both = lambda: (sorted(map(tuple, scans.scan_noise(scanned, pages).collect())), sorted(map(tuple, scans.repaired_paragraphs(scanned, pages).collect())))
+    whole = both()
+    monkeypatch.setattr(scans, "KNOWN", 1)
+    assert both() == whole
+
+
 def test_repair(spark, scanned):
     pages = spark.createDataFrame([(d, p, 500.0, 700.0) for d in (1, 2) for p in range(1, 7)], "doc_id bigint, page int, width double, height double")
     got = {(r.page, r.idx): r.text for r in scans.repaired_paragraphs(scanned, pages).collect()}
