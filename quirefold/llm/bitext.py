@@ -15,6 +15,8 @@ of terms that can't reach the least cosine, by their numbers of concepts, are le
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,14 +188,7 @@ def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUND
         lexicon = _learned(a, b, rounds)
         cells = materialize(_ranked(_cells(*_vectors(a, b, lexicon)), GUEST_SIM), "p2-cells")
     best = cells.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & (F.col("sim") >= LEAST_SIM))
-    # vectors of the sentences in question only: merged ones are few
-    open_ = {m: cells.join(best.select("pair", f"sid_{m}"), ["pair", f"sid_{m}"], "left_anti").filter(F.col("sim") >= GUEST_SIM).join(best.select("pair", f"sid_{o}"), ["pair", f"sid_{o}"], "left_semi") for o, m in (("a", "b"), ("b", "a"))}
-    tried = materialize(open_["a"].unionByName(open_["b"]), "p2-tried")
-    with_best = tried.select(*PLACE, "sid_a", "sid_b").unionByName(best.join(tried.select("pair", "sid_a"), ["pair", "sid_a"], "left_semi").select(*PLACE, "sid_a", "sid_b")).unionByName(best.join(tried.select("pair", "sid_b"), ["pair", "sid_b"], "left_semi").select(*PLACE, "sid_a", "sid_b"))
-    asked = lambda t, one: t.join(materialize(with_best.select(*PLACE, F.col(f"sid_{one}").alias("sid")).distinct(), "p2-asked"), [*PLACE, "sid"], "left_semi")
-    once = ["pair", "sid", "term"]  # a sentence of a long pair stands in several blocks
-    x, y = (materialize(v.dropDuplicates(once), "p2-windows") for v in _vectors(asked(a, "a"), asked(b, "b"), lexicon))
-    spans = _spans(open_["b"], best, x, y, "a", "b").unionByName(_spans(open_["a"], best, y, x, "b", "a"))
+    spans = _spans(cells, best, lambda asked: _vectors(*(t.join(asked.filter(F.col("side") == s).drop("side"), [*PLACE, "sid"], "left_semi") for t, s in ((a, "a"), (b, "b"))), lexicon))
     return _with_places(best.select("pair", "sid_a", "sid_b", "sim").unionByName(spans).dropDuplicates(["pair", "sid_a", "sid_b"]), s)
 
 
@@ -210,39 +205,53 @@ def _learned(a: DataFrame, b: DataFrame, rounds: int) -> DataFrame | None:
     return lexicon
 
 
-def _spans(free: DataFrame, best: DataFrame, hosts: DataFrame, guests: DataFrame, one: str, many: str) -> DataFrame:
-    """(pair, sid_a, sid_b, sim): further counterparts of merged sentences of side `one`; `free` are pairs of such a sentence, which
-    has a partner, and one of side `many` that has none. A sentence without partner joins the window whose cosine to its host grows most by it; of several the best goes first, and the others are tried
-    again with the larger window. A window has each term once, as the merged sentence would."""
-    host, guest = f"sid_{one}", f"sid_{many}"
-    key = ["pair", "host"]
-    row = lambda df: df.select("pair", F.col(host).alias("host"), F.col(guest).alias("guest"), "dot", F.col(f"norm_{many}").alias("norm"), "sim")
-    left = materialize(row(free), "p2-guests")
-    members = row(best).join(left.select(*key).distinct(), key, "left_semi")
-    vectors = guests.select("pair", F.col("sid").alias("guest"), "term", "v")
-    own = hosts.select("pair", F.col("sid").alias("host"), "term", F.col("v").alias("x"))
+def _spans(cells: DataFrame, best: DataFrame, vectors_of: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(pair, sid_a, sid_b, sim): further counterparts of merged sentences, the hosts. A sentence without partner, a guest, joins the
+    window whose cosine to its host grows most by it; of several the best goes first, and the others are tried again with
+    the larger window. A window has each term once, as the merged sentence would. Both sides can be hosts; vectors_of gives
+    the vectors of both sides of sentences (pair, block, side, sid)."""
+    def of(df: DataFrame, one: str, many: str) -> DataFrame:
+        return df.select(*PLACE, F.lit(one).alias("side"), F.col(f"sid_{one}").alias("host"), F.col(f"sid_{many}").alias("guest"), "dot", F.col(f"norm_{many}").alias("norm"), "sim")
+
+    def free(one: str, many: str) -> DataFrame:
+        lonely = cells.filter(F.col("sim") >= GUEST_SIM).join(best.select("pair", f"sid_{many}"), ["pair", f"sid_{many}"], "left_anti")
+        return of(lonely.join(best.select("pair", f"sid_{one}"), ["pair", f"sid_{one}"], "left_semi"), one, many)
+
+    key = ["pair", "side", "host"]
+    sides = (("a", "b"), ("b", "a"))
+    left = materialize(free(*sides[0]).unionByName(free(*sides[1])), "p2-guests")
+    members = materialize(of(best, *sides[0]).unionByName(of(best, *sides[1])).join(left.select(*key).distinct(), key, "left_semi"), "p2-hosts")
+    other = F.when(F.col("side") == "a", "b").otherwise("a")
+    rows = left.select(*PLACE, "side", "host", "guest").unionByName(members.select(*PLACE, "side", "host", "guest"))
+    asked = rows.select(*PLACE, "side", F.col("host").alias("sid")).unionByName(rows.select(*PLACE, other.alias("side"), F.col("guest").alias("sid"))).distinct()
+    x, y = vectors_of(materialize(asked, "p2-asked"))
+    every = x.withColumn("side", F.lit("a")).unionByName(y.withColumn("side", F.lit("b"))).select("pair", "side", "sid", "term", "v")
+    every = materialize(every.dropDuplicates(["pair", "side", "sid", "term"]), "p2-windows")  # a sentence of a long pair stands in several blocks
+    vectors = every.select("pair", other.alias("side"), F.col("sid").alias("guest"), "term", "v")
+    own = every.select("pair", "side", F.col("sid").alias("host"), "term", F.col("v").alias("x"))
+    guest = ["pair", "side", "guest"]
     state = members.select(*key, F.col("dot").alias("had"), (F.col("norm") * F.col("norm")).alias("square"))
-    window = members.select(*key, "guest").join(vectors, ["pair", "guest"]).select(*key, "term", F.col("v").alias("u"))
+    window = members.select(*key, "guest").join(vectors, guest).select(*key, "term", F.col("v").alias("u"))
     found = best.filter("false").select("pair", "sid_a", "sid_b", "sim")
-    while not left.isEmpty():
-        met = left.select(*key, "guest").join(vectors, ["pair", "guest"]).join(window, [*key, "term"], "left").join(own, [*key, "term"], "left").fillna(0.0, ["u", "x"])
+    while True:
+        met = left.select(*key, "guest").join(vectors, guest).join(window, [*key, "term"], "left").join(own, [*key, "term"], "left").fillna(0.0, ["u", "x"])
         more = F.greatest(F.col("v") - F.col("u"), F.lit(0.0))
         grown = met.groupBy(*key, "guest").agg(F.sum(more * F.col("x")).alias("more"), F.sum(more * (more + 2 * F.col("u"))).alias("wider"))
         tried = left.join(state, key).join(grown, [*key, "guest"])
         near = lambda dot, square: F.col(dot) / F.sqrt(square)
         tried = tried.withColumns({"had_new": F.col("had") + F.col("more"), "square_new": F.col("square") + F.col("wider")}).withColumn("gain", near("had_new", "square_new") / near("had", "square"))
-        mine, ours = Window.partitionBy("pair", "guest").orderBy(F.col("gain").desc(), "host"), Window.partitionBy(*key).orderBy("nth", F.col("gain").desc(), "guest")
+        mine, ours = Window.partitionBy(*guest).orderBy(F.col("gain").desc(), "host"), Window.partitionBy(*key).orderBy("nth", F.col("gain").desc(), "guest")
         tried = tried.filter(F.col("gain") > GAIN).withColumn("nth", F.row_number().over(mine)).withColumn("k", F.row_number().over(ours))
         tried = materialize(tried, "p2-gains")
         taken = tried.filter("nth = 1 and k = 1")
-        found = found.unionByName(taken.select("pair", F.col("host").alias(host), F.col("guest").alias(guest), "sim").select("pair", "sid_a", "sid_b", "sim"))
-        left = materialize(tried.select(*left.columns).join(taken.select("pair", "guest"), ["pair", "guest"], "left_anti").join(taken.select(*key), key, "left_semi"), "p2-guests")
+        pick = lambda s: F.when(F.col("side") == s, F.col("host")).otherwise(F.col("guest")).alias(f"sid_{s}")
+        found = found.unionByName(taken.select("pair", pick("a"), pick("b"), "sim"))
+        left = materialize(tried.select(*left.columns).join(taken.select(*guest), guest, "left_anti").join(taken.select(*key), key, "left_semi"), "p2-guests")
         if left.isEmpty():
-            break
+            return found
         state = taken.select(*key, F.col("had_new").alias("had"), F.col("square_new").alias("square"))
-        added = taken.select(*key, "guest").join(vectors, ["pair", "guest"]).select(*key, "term", F.col("v").alias("u"))
+        added = taken.select(*key, "guest").join(vectors, guest).select(*key, "term", F.col("v").alias("u"))
         window = materialize(window.join(taken.select(*key), key, "left_semi").unionByName(added).groupBy(*key, "term").agg(F.max("u").alias("u")), "p2-windows")
-    return found
 
 
 def _with_places(found: DataFrame, s: DataFrame) -> DataFrame:
