@@ -56,9 +56,9 @@ def align_segments(elements: DataFrame, translations: DataFrame) -> DataFrame:
 
 
 def reconcile(elements: DataFrame, translations: DataFrame) -> DataFrame:
-    """(doc_id, page, idx, want, n_segs, fixed, blanks): equal counts stay; one wanted takes all joined; else by place, padded or cut."""
+    """(doc_id, page, idx, want, n_segs, fixed, blanks): equal counts stay; one wanted takes all joined; else by place, padded or cut. Segments lose a leading volume head."""
     j = wanted(elements).join(newest(translations).select(*KEY, "segs"), KEY)
-    zh = F.transform(F.coalesce("segs", F.array().cast("array<string>")), lambda z: T.strip_volume_head(F.coalesce(z, F.lit(""))))
+    zh = F.transform(F.coalesce("segs", F.array().cast("array<string>")), lambda z: T.strip_chinese_volume(F.coalesce(z, F.lit(""))))
     j = j.withColumn("zh", zh)
     padded = F.transform(F.sequence(F.lit(1), F.col("want")), lambda i: F.coalesce(F.try_element_at("zh", i), F.lit("")))
     fixed = F.when(F.size("zh") == F.col("want"), F.col("zh")).when(F.col("want") == 1, F.array(F.array_join(_nonblank(F.col("zh")), ""))).otherwise(padded)

@@ -28,8 +28,11 @@ def vocabulary(elements: DataFrame) -> DataFrame:
 
 
 def acronyms(elements: DataFrame) -> DataFrame:
-    """(word, n): surface tokens of capitals only, which general dictionaries get wrong."""
-    return tokens(elements).filter(F.col("word").rlike(r"^[A-Z]{2,}\z")).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n): tokens of sentences that are capitals throughout, which general dictionaries get wrong. Here a token may end
+    with an apostrophe or a hyphen, and is then none; elements without sentences have no tokens."""
+    said = elements.filter("kind = 'text' and size(sentences) > 0").select(F.explode("sentences").alias("s"))
+    words = said.select(F.explode(F.regexp_extract_all("s", F.lit(r"[A-Za-z][A-Za-z'’\-]*"), F.lit(0))).alias("word"))
+    return words.filter(T.is_lookup_word("word") & F.col("word").rlike(r"^[A-Z]{2,}\z")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def entries(dictionary: DataFrame) -> DataFrame:

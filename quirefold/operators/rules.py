@@ -73,9 +73,9 @@ def stale_overrides(elements: DataFrame, fixes: DataFrame) -> DataFrame:
     return fixes.filter("src_text is not null").withColumn("k", _plain("src_text")).join(known, "k", "left_anti").drop("k")
 
 
-def without_stubs(elements: DataFrame) -> DataFrame:
+def without_stubs(elements: DataFrame, marks: tuple[str, ...] = ()) -> DataFrame:
     """elements without stub pages, pages numbered anew from 1 without gaps; new_page beside page."""
-    kept = elements.join(stub_pages(elements), ["doc_id", "page"], "left_anti")
+    kept = elements.join(stub_pages(elements, marks), ["doc_id", "page"], "left_anti")
     numbers = kept.select("doc_id", "page").distinct().withColumn("new_page", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")))
     return kept.join(numbers, ["doc_id", "page"])
 

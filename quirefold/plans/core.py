@@ -160,11 +160,16 @@ def ligature_expand(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).filter(x != F.col("text")).select(*KEY, x.alias("expanded"))
 
 
+#: A user's tables: slips of one scan, and words that lost a drop capital.
+WORD_FIXES = (("jinance", "finance"), ("jirm", "firm"), ("jirst", "first"), ("Keyndsian", "Keynesian"))
+DROP_CAPS = {"HE": "THE", "HIS": "THIS", "HESE": "THESE"}
+
+
 @query
 def word_repairs(spark: SparkSession, d: str) -> DataFrame:
     """Fixed repairs in order, on texts with the damage they mend written in."""
     hurt = F.concat(F.replace("text", F.lit("finance"), F.lit("jinance")), F.lit(" HE BANK, macmacroeconomics"))
-    return _texts(spark, d).filter("text like '%finance%'").select(*KEY, T.fix_double_stem(T.fix_words(T.fix_drop_caps(hurt))).alias("repaired"))
+    return _texts(spark, d).select(*KEY, T.fix_double_stem(T.fix_words(T.fix_drop_caps(hurt, DROP_CAPS), WORD_FIXES)).alias("repaired"))
 
 
 @query
@@ -176,7 +181,7 @@ def header_strip(spark: SparkSession, d: str) -> DataFrame:
 @query
 def volume_head_strip(spark: SparkSession, d: str) -> DataFrame:
     t = _texts(spark, d).withColumn("headed", F.concat(F.lit("Vol. XXVIII (December 1990) "), "text"))
-    return t.select(*KEY, T.strip_volume_head("headed").alias("stripped"))
+    return t.select(*KEY, T.strip_volume_head("headed", "December", "1990").alias("stripped"))
 
 
 #: Rules in the manner of a user's table: fused and broken words, one exact splice.
@@ -243,14 +248,37 @@ def repeated_header(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def zh_piece_learn(spark: SparkSession, d: str) -> DataFrame:
-    return heads.learn_pieces(align.newest(translations(spark, d)))
+    """On heads written in: the first sentence of every third element begins with a volume line, its first segment with the
+    translated one and a page number."""
+    e, t = elements(spark, d, "kind", "sentences"), align.newest(translations(spark, d))
+    third = (F.col("idx") + F.col("page")) % 3 == 0
+    ahead = lambda c, x: F.when(third & (F.size(c) > 0), F.concat(F.array(F.concat(x, F.element_at(c, 1))), F.slice(c, 2, F.size(c)))).otherwise(F.col(c))
+    headed = e.withColumn("sentences", ahead("sentences", F.lit("1655 Vol. XX (")))
+    zh = t.withColumn("segs", ahead("segs", F.concat(F.lit("期刊第"), F.col("page") % 3, F.lit("卷 165"), (F.col("idx") % 10).cast("string"), F.lit(" "))))
+    return heads.learn_pieces(headed, zh)
+
+
+@query
+def zh_piece_learn_plain(spark: SparkSession, d: str) -> DataFrame:
+    """On the tables as they are, with the words that begin running heads in them."""
+    return heads.learn_pieces(elements(spark, d, "kind", "sentences"), align.newest(translations(spark, d)), ("Proceedings of the", "Notes on the", "A History of"))
+
+
+#: A user's marks of pages that only cite: one anywhere, one that must be the whole page.
+STUB_MARKS = (r"(?i)linked citations", r"(?i)^\s*www\.example\.org\s*\z")
 
 
 @query
 def stub_pages(spark: SparkSession, d: str) -> DataFrame:
-    """On texts in which every `https` stands three times, as on a page of links."""
+    """On texts in which `table` is four links, as on a page of links; pages of nothing but `Index` are stubs too."""
     e = elements(spark, d, "kind", "text").withColumn("text", F.regexp_replace("text", "(?i)table", "https://a.b https://c.d https://e.f https://g.h"))
-    return heads.stub_pages(e)
+    return heads.stub_pages(e, STUB_MARKS)
+
+
+@query
+def stub_pages_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Stub pages of the table as it is."""
+    return heads.stub_pages(elements(spark, d, "kind", "text"), STUB_MARKS)
 
 
 @query
@@ -319,7 +347,8 @@ def height_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pushdown_layout(spark: SparkSession, d: str) -> DataFrame:
-    r = layout.relayout(columned(spark, d), pages(spark, d), align.newest(translations(spark, d)))
+    e, p = columned(spark, d), pages(spark, d)
+    r = layout.relayout(layout.widened(e, p), p, align.newest(translations(spark, d)))
     return r.select(*KEY, "side", F.round("top", 2).alias("top"), F.round("bottom", 2).alias("bottom"))
 
 

@@ -65,11 +65,11 @@ def ligatures(x: str) -> str:
 
 
 def repairs(x: str) -> str:
-    for bad in sorted(T.DROP_CAPS, key=lambda w: (-len(w), w)):
-        x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_]){bad}(\s+[A-Z][A-Z])', '\1{T.DROP_CAPS[bad]}\2', 'g')"
-    for bad, good in T.WORD_FIXES:
+    for bad, good in (("HESE", "THESE"), ("HIS", "THIS"), ("HE", "THE")):
+        x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_]){bad}(\s+[A-Z][A-Z])', '\1{good}\2', 'g')"
+    for bad, good, flags in (("jinance", "finance", "gi"), ("jirm", "firm", "gi"), ("jirst", "first", "gi"), ("Keyndsian", "Keynesian", "g")):
         for _ in range(2):
-            x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_]){bad}($|[^\p{{L}}\p{{N}}_])', '\1{good}\2', 'g{'i' if bad[0].islower() else ''}')"
+            x = rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_]){bad}($|[^\p{{L}}\p{{N}}_])', '\1{good}\2', '{flags}')"
     return rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_])(mac|mic)(?:mac|mic)(ro)', '\1\2\3', 'gi')"
 
 
@@ -149,7 +149,7 @@ MARKS = "(?i)(" + "|".join(T.PLACEHOLDERS) + ")"
 SCOPE = "SELECT DISTINCT doc_id FROM translations"
 ABBR_END = "({x} ~ '[.!?][\"''”’)]*\\s*$' AND NOT regexp_extract(regexp_replace(regexp_replace({y}, '[\"''”’)]+$', ''), '\\.+$', ''), '(\\S+)\\s*$', 1) IN ({a}))"
 
-_T2_TAIL = "(?i)(^|[^\\p{L}\\p{N}_])(vs|figs?|e\\.g|i\\.e|et\\s+al|no|cf|al|eq|ch|pp|mr|dr)$"
+_T2_TAIL = "(?i)(^|[^\\p{L}\\p{N}_])(vs\\.?|figs?|e\\.g|i\\.e|et\\s+al|no|cf|al|eq|ch|pp|mr|dr)$"
 _MARK = "^\\(?[a-z0-9]{1,3}[.)]?$"
 _RESPLIT = fold(_T2, f"regexp_matches({{l}}, '{_T2_TAIL}')")
 _RESPLIT = fold(f"({_RESPLIT})", f"regexp_matches({{l}}, '{_MARK}') AND NOT regexp_matches(x, '{_MARK}')")
@@ -209,12 +209,24 @@ ht AS (SELECT doc_id, page, idx, sum(a * sz * 1.18 + CASE WHEN b > 0 THEN b * sz
 SKIPPED = """sk AS (SELECT i.doc_id, i.page, i.idx FROM (SELECT el.*, width, height FROM el JOIN geo USING (doc_id, page) WHERE kind = 'image' AND bbox IS NOT NULL AND (x1 - x0) * (y1 - y0) >= 0.8 * greatest(width * height, 1e-6)) i LEFT JOIN isl ON isl.doc_id = i.doc_id AND isl.page = i.page
 GROUP BY i.doc_id, i.page, i.idx HAVING coalesce(sum(greatest(0, least(b, y1) - greatest(a, y0)) / greatest(y1 - y0, 1e-6)), 0) >= 0.7)"""
 
+#: From heads z of th whose element is signed: pieces before page numbers and begins that two heads of a document share.
+PIECES = f"""h0 AS (SELECT doc_id, page, idx, {trim('z')} AS h FROM th JOIN sg USING (doc_id, page, idx) WHERE ok = 1 AND z IS NOT NULL AND {trim('z')} <> ''),
+h AS (SELECT * FROM h0 WHERE doc_id IN (SELECT doc_id FROM h0 GROUP BY 1 HAVING count(*) >= 2)), bf AS (SELECT *, {trim("regexp_extract(h, '^[^0-9]*')")} AS b FROM h),
+ct AS (SELECT doc_id, page, idx, b[1:k] AS p, k FROM (SELECT *, unnest(range(2, least(length(b), 14) + 1)) AS k FROM bf)), sh AS (SELECT doc_id, p FROM ct GROUP BY 1, 2 HAVING count(*) >= 2),
+bt AS (SELECT doc_id, arg_max(p, k) AS p FROM ct JOIN sh USING (doc_id, p) GROUP BY doc_id, page, idx), nm AS (SELECT doc_id, {trim("regexp_extract(h, '^([^0-9《》[:space:]][^0-9《》]{1,13}?)[[:space:]]*[0-9]{3,4}($|[^[:alnum:]_])', 1)")} AS p, h FROM h)
+SELECT doc_id, {trim('p')} AS piece FROM bt WHERE length({trim('p')}) >= 3 UNION SELECT doc_id, p FROM nm WHERE p <> ''"""
+#: Text boxes widened toward the right edge of their column, and the columns that they are in then.
+_NEED, _NATURAL = f"coalesce({advance("coalesce(el.text, '')", "coalesce(nullif(el.size, 0), 11.0)")}, 0)", "greatest(el.x1 - el.x0, 4.0)"
+WIDENED = f"""cr AS (SELECT doc_id, page, idx, CASE WHEN coalesce(width, 0) <= 0 THEN x0 + 200 WHEN e <= x0 + 20 THEN width - 24 ELSE e END AS edge FROM (SELECT *, CASE WHEN x0 < gutter AND gutter < margin THEN gutter - 8 ELSE margin END AS e FROM col)),
+wd AS (SELECT el.* REPLACE (CASE WHEN el.kind = 'text' AND edge - el.x0 > {_NATURAL} AND ({_NEED} > {_NATURAL} * 1.02 OR coalesce(nullif(el.size, 0), 11.0) >= 13) THEN el.x0 + least(edge - el.x0, greatest({_NATURAL}, {_NEED} * 1.02)) ELSE el.x1 END AS x1) FROM el LEFT JOIN cr ON cr.doc_id = el.doc_id AND cr.page = el.page AND cr.idx = el.idx),
+cw AS (SELECT doc_id, page, idx, CASE WHEN gutter IS NULL OR kind <> 'text' THEN 'full' WHEN x1 <= gutter THEN 'left' WHEN x0 >= gutter THEN 'right' ELSE 'full' END AS side FROM wd LEFT JOIN gut USING (doc_id, page) WHERE bbox IS NOT NULL)"""
+
 SQL = {
     "text_run_merge": runs("'text', 'formula'", RUN_ON, RUN_TEXT),
     "paragraph_reflow": runs("'text'", PARA_ON, PARA_TEXT),
-    "pushdown_layout": f"""WITH RECURSIVE {EL2}, {GEO}, {TR}, {SIDES}, {ISLANDS}, {SKIPPED}, {HEIGHTS}, o AS (SELECT e.doc_id, e.page, e.idx, col.side, e.y0, CASE e.kind WHEN 'text' THEN greatest(coalesce(est, 0), e.y1 - e.y0, coalesce(nullif(e.size, 0), 11.0)) WHEN 'formula' THEN greatest(e.y1 - e.y0, coalesce(nullif(e.size, 0), 11.0) * 1.2) ELSE greatest(e.y1 - e.y0, 4.0) END AS h,
+    "pushdown_layout": f"""WITH RECURSIVE {EL2}, {GEO}, {TR}, {SIDES}, {ISLANDS}, {SKIPPED}, {WIDENED}, {HEIGHTS.replace("FROM el LEFT JOIN tr", "FROM wd AS el LEFT JOIN tr")}, o AS (SELECT e.doc_id, e.page, e.idx, cw.side, e.y0, CASE e.kind WHEN 'text' THEN greatest(coalesce(est, 0), e.y1 - e.y0, coalesce(nullif(e.size, 0), 11.0)) WHEN 'formula' THEN greatest(e.y1 - e.y0, coalesce(nullif(e.size, 0), 11.0) * 1.2) ELSE greatest(e.y1 - e.y0, 4.0) END AS h,
 sk.idx IS NOT NULL OR {BLANK.replace('text', 'e.text').replace("'e.text'", "'text'").replace('kind', 'e.kind').replace('sentences', 'e.sentences')} AS gone, row_number() OVER (PARTITION BY e.doc_id, e.page ORDER BY round_even(e.y0, 1), e.x0, e.idx) AS k
-FROM el e JOIN col ON col.doc_id = e.doc_id AND col.page = e.page AND col.idx = e.idx LEFT JOIN ht ON ht.doc_id = e.doc_id AND ht.page = e.page AND ht.idx = e.idx LEFT JOIN sk ON sk.doc_id = e.doc_id AND sk.page = e.page AND sk.idx = e.idx WHERE e.bbox IS NOT NULL),
+FROM wd e JOIN cw ON cw.doc_id = e.doc_id AND cw.page = e.page AND cw.idx = e.idx LEFT JOIN ht ON ht.doc_id = e.doc_id AND ht.page = e.page AND ht.idx = e.idx LEFT JOIN sk ON sk.doc_id = e.doc_id AND sk.page = e.page AND sk.idx = e.idx WHERE e.bbox IS NOT NULL),
 f AS (SELECT doc_id, page, 0::BIGINT AS k, -1e9::DOUBLE AS l, -1e9::DOUBLE AS r, -1e9::DOUBLE AS u, -1 AS idx, '' AS side, 0.0::DOUBLE AS top, 0.0::DOUBLE AS bottom FROM (SELECT DISTINCT doc_id, page FROM o) UNION ALL
 SELECT doc_id, page, k, CASE WHEN NOT gone AND side IN ('left', 'full') THEN t + h ELSE l END, CASE WHEN NOT gone AND side IN ('right', 'full') THEN t + h ELSE r END, CASE WHEN NOT gone AND side = 'full' THEN t + h ELSE u END, idx, side, CASE WHEN gone THEN 0 ELSE t END, CASE WHEN gone THEN 0 ELSE t + h END
 FROM (SELECT o.*, f.l, f.r, f.u, greatest(o.y0, CASE o.side WHEN 'left' THEN f.l WHEN 'right' THEN f.r ELSE greatest(f.l, f.r, f.u) END + 3.0) AS t FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.k = f.k + 1))
@@ -228,8 +240,10 @@ SELECT doc_id, page, string_agg(d, '' ORDER BY round_even(y0, 1), x0, idx) AS ht
     "sentences_resplit": exploded(f"SELECT doc_id, {_RESPLIT} AS s FROM documents WHERE text IS NOT NULL AND {trim('text')} <> ''"),
     "gloss_clean": f"""WITH a AS (SELECT DISTINCT {trim("concat_ws(' ', t, m)")} AS line FROM dictionary WHERE m IS NOT NULL), b AS (SELECT line, regexp_matches(line, '{_POS}') AS p, regexp_matches(line, '{_HAN}') AS h FROM a)
 SELECT line, CASE WHEN p THEN regexp_extract(line, '{_POS}', 1) || '.' WHEN h THEN regexp_extract(line, '{_HAN}', 1) ELSE '' END AS tag, {trim("regexp_replace(CASE WHEN p THEN regexp_replace(line, '" + _POS + "', '') WHEN h THEN regexp_replace(line, '" + _HAN + "', '') ELSE line END, '^[ .．。:：、,，;；]+', '')")} AS gloss FROM b""",
-    "zh_piece_learn": f"""WITH {TR}, h AS (SELECT doc_id, {trim("regexp_extract(segs[1], '^[[:space:]]*([^0-9]{3,}?)[[:space:]]*[0-9]', 1)")} AS h FROM tr WHERE len(segs) > 0), c AS (SELECT doc_id, h[1:k] AS piece, count(*) AS n FROM (SELECT *, unnest(range(2, least(length(h), 14) + 1)) AS k FROM h WHERE length(h) >= 3) GROUP BY 1, 2)
-SELECT doc_id, piece, n FROM c WHERE n >= 2 AND length(piece) >= 3 AND NOT EXISTS (SELECT 1 FROM c AS o WHERE o.doc_id = c.doc_id AND o.n >= 2 AND length(o.piece) > length(c.piece) AND starts_with(o.piece, c.piece))""",
+    "zh_piece_learn": f"""WITH {EL}, {TR}, th AS (SELECT doc_id, page, idx, CASE WHEN (idx + page) % 3 = 0 AND len(segs) > 0 THEN '期刊第' || (page % 3) || '卷 165' || (idx % 10) || ' ' || coalesce(segs[1], '') ELSE segs[1] END AS z, CASE WHEN len(segs) > 0 AND NOT ((idx + page) % 3 = 0 AND segs[1] IS NULL) THEN 1 END AS ok FROM tr WHERE len(segs) > 0),
+sg AS (SELECT doc_id, page, idx FROM el WHERE kind = 'text' AND len(sentences) > 0 AND CASE WHEN (idx + page) % 3 = 0 THEN sentences[1] IS NOT NULL ELSE regexp_matches(sentences[1], '(?i)^([0-9]{{3,4}}\\s+|\\s+[0-9]{{3,4}}\\s+)?\\s*Vol\\.\\s*[IVXL]+\\s*\\(') END), {PIECES}""",
+    "zh_piece_learn_plain": f"""WITH {EL}, {TR}, th AS (SELECT doc_id, page, idx, segs[1] AS z, 1 AS ok FROM tr WHERE len(segs) > 0),
+sg AS (SELECT doc_id, page, idx FROM el WHERE kind = 'text' AND len(sentences) > 0 AND regexp_matches(sentences[1], '(?i)^([0-9]{{3,4}}\\s+|\\s+[0-9]{{3,4}}\\s+)?\\s*(Vol\\.\\s*[IVXL]+\\s*\\(|Proceedings\\s*of\\s*the|Notes\\s*on\\s*the|A\\s*History\\s*of)')), {PIECES}""",
     "word_boxes": f"WITH {EL}, {WORDS} SELECT doc_id, page, idx, count(*) AS n, round(max(wx1), 2) AS right, round(avg(wx0), 2) AS mean_left FROM wb GROUP BY 1, 2, 3",
     "line_gutter_mode": f"WITH {EL2}, {GEO}, {WORDS}, {LINE_GUTTERS} SELECT * FROM lg",
     "column_major_order": f"""WITH {EL2}, {GEO}, {WORDS}, {LINE_GUTTERS}, s AS (SELECT wb.*, CAST(round_even(wy0 / 3.0, 0) AS INTEGER) AS line, CASE WHEN gutter IS NULL OR wx1 <= gutter + 2 THEN 0 WHEN wx0 >= gutter - 2 THEN 1 WHEN gutter - wx0 > wx1 - gutter THEN 0 ELSE 1 END AS side FROM wb LEFT JOIN lg USING (doc_id, page)),
@@ -247,7 +261,8 @@ SELECT doc_id, page, idx, next_idx, h AS head, tail, CASE WHEN regexp_matches(re
     "chinese_split": f"WITH {TR} SELECT doc_id, page, idx, seg, CAST(i - 1 AS INTEGER) AS piece, ps[i] AS sentence FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, page, idx, CAST(j - 1 AS INTEGER) AS seg, {zh_pieces('segs[j]')} AS ps FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS j FROM tr) WHERE segs[j] IS NOT NULL))",
     "tokens_lookup": f"WITH {EL} SELECT doc_id, page, idx, CAST(len(ws) AS INTEGER) AS words, CAST(len(list_filter(ws, lambda w: {LOOKUP})) AS INTEGER) AS lookups FROM (SELECT *, regexp_extract_all(text, '{W}') AS ws FROM el WHERE kind = 'text' AND text IS NOT NULL)",
     "vocabulary_first_seen": f"WITH {EL}, {TOKENS} SELECT doc_id, word, page, idx, CAST(sent AS INTEGER) AS sent, CAST(pos AS INTEGER) AS pos FROM (SELECT doc_id, lower(w) AS word, page, idx, sent, pos, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY page, idx, sent, pos) AS k FROM tok) WHERE k = 1",
-    "surface_acronyms": f"WITH {EL}, {TOKENS} SELECT w AS word, count(*) AS n FROM tok WHERE regexp_full_match(w, '[A-Z]{{2,}}') GROUP BY 1",
+    "surface_acronyms": f"""WITH {EL}, s AS (SELECT unnest(sentences) AS s FROM el WHERE kind = 'text' AND len(sentences) > 0), k AS (SELECT unnest(regexp_extract_all(s, '[A-Za-z][A-Za-z''’-]*')) AS w FROM s)
+SELECT w AS word, count(*) AS n FROM k WHERE regexp_full_match(w, '[A-Z]{{2,}}') AND {LOOKUP} GROUP BY 1""",
     "lemma_candidates": f"WITH ws AS (SELECT DISTINCT lower({trim('word')}) AS w FROM dictionary WHERE {trim('word')} <> ''), {LEMMAS} SELECT word, candidate, form FROM cands",
     "dictionary_resolve": f"WITH {EL}, {TOKENS}, {RESOLVED} SELECT word, entry, candidate, CAST(tier AS INTEGER) AS tier, m FROM res",
     "dictionary_unresolved": f"WITH {EL}, {TOKENS}, {RESOLVED} SELECT w AS word FROM ws WHERE w NOT IN (SELECT word FROM res)",
@@ -259,7 +274,7 @@ SELECT *, round(100.0 * (words - missing) / words, 1) AS coverage, round(100.0 *
 SELECT t, array_to_string(list_transform(list_slice(list_filter(g, lambda x, i: list_position(g, x) = i), 1, 3), lambda x: x || '.'), '/') AS pos FROM a""",
     "first_lines": f"SELECT DISTINCT m, substr(array_to_string(list_filter(list_transform(regexp_split_to_array(replace(m || '; a \\n b；' || m, '\\n', chr(10)), '[\\n;；]'), lambda p: {trim('p')}), lambda p: p <> ''), '；'), 1, 200) AS lines FROM dictionary WHERE m IS NOT NULL",
     "ligature_expand": f"WITH {EL} SELECT doc_id, page, idx, {ligatures('text')} AS expanded FROM el WHERE kind = 'text' AND text IS NOT NULL AND {ligatures('text')} <> text",
-    "word_repairs": f"WITH {EL} SELECT doc_id, page, idx, {repairs('hurt')} AS repaired FROM (SELECT *, replace(text, 'finance', 'jinance') || ' HE BANK, macmacroeconomics' AS hurt FROM el WHERE kind = 'text' AND text LIKE '%finance%')",
+    "word_repairs": f"WITH {EL} SELECT doc_id, page, idx, {repairs('hurt')} AS repaired FROM (SELECT *, replace(text, 'finance', 'jinance') || ' HE BANK, macmacroeconomics' AS hurt FROM el WHERE kind = 'text' AND text IS NOT NULL)",
     "header_strip": f"WITH {EL} SELECT doc_id, page, idx, {strip_heads('text')} AS stripped, regexp_matches({strip_heads('text')}, '[0-9A-Za-z一-鿿]') AS substance FROM el WHERE kind = 'text' AND text IS NOT NULL AND {strip_heads('text')} <> {trim('text')}",
     "volume_head_strip": f"WITH {EL} SELECT doc_id, page, idx, regexp_replace(text, '^\\s+', '') AS stripped FROM el WHERE kind = 'text' AND text IS NOT NULL",
     "formula_class": f"""WITH {EL}, a AS (SELECT doc_id, page, idx, kind, font, {trim('text')} AS x, {POINTS} AS points FROM el WHERE kind IN ('text', 'formula') AND text IS NOT NULL),
@@ -267,13 +282,15 @@ b AS (SELECT *, points / 10.0 / greatest(1, length(x)) AS s, {n('(?:^|[^A-Za-z0-
 SELECT doc_id, page, idx, kind, points, CASE WHEN x = '' THEN false WHEN mf AND s >= 0.2 THEN true WHEN contains(x, '=') AND (tk > 0 OR s >= 0.3) AND lw <= 2 THEN true WHEN s >= 0.6 AND length(x) >= 4 THEN true
 WHEN s >= 0.4 AND lw <= 1 THEN true ELSE tk > 0 AND length(x) <= 90 AND lw <= 3 END AS formula FROM b""",
     "math_line_class": f"""WITH {EL}, a AS (SELECT doc_id, page, idx, kind, {trim('text')} AS x, coalesce(regexp_matches(font, '^({'|'.join(T.MATH_FONTS)})'), false) AS mf FROM el WHERE kind IN ('text', 'formula') AND text IS NOT NULL),
-b AS (SELECT *, list_has_any(list_transform(regexp_extract_all(x, '[A-Za-z]+'), lambda w: lower(w)), [{quoted(T.FUNCTION_WORDS)}]) AS prose, {n('[' + T.MATH_CHARS + '=]', 'x')} AS signs FROM a)
+b AS (SELECT *, list_has_any(list_transform(regexp_extract_all(x, '[A-Za-z]{{3,}}'), lambda w: lower(w)), [{quoted(T.FUNCTION_WORDS)}]) AS prose, {n("[=+−×÷≠≤≥∑∏∫√∞←→↔∈∂α-ξπρσ-ωΑ-ΞΠ-Ω-]", 'x')} AS signs FROM a)
 SELECT doc_id, page, idx, kind, CASE WHEN x = '' THEN false WHEN regexp_matches(x, '[=≥≤≠→←∑∏∫∂]') AND NOT prose THEN true WHEN NOT regexp_matches(x, '[A-Za-z]{{3,}}') THEN signs > 0 OR mf WHEN prose THEN false ELSE signs >= 2 AND mf END AS math FROM b""",
     "header_probe": f"""WITH {EL}, {TR}, h AS (SELECT doc_id, page, 'en' AS side, {head('sentences[1]', 28, True)} AS head FROM el WHERE kind = 'text' AND len(sentences) > 0 UNION ALL
 SELECT doc_id, page, 'zh', {head('segs[1]', 16, False)} FROM tr WHERE len(segs) > 0) SELECT doc_id, side, head, count(DISTINCT page) AS pages FROM h WHERE length(head) >= 8 GROUP BY 1, 2, 3 HAVING count(DISTINCT page) >= 3""",
     "repeated_header": f"WITH {EL} SELECT doc_id, head, count(*) AS n FROM (SELECT doc_id, {head('text', 48, False)} AS head FROM el WHERE kind = 'text' AND NOT {BLANK}) WHERE length(head) >= 12 GROUP BY 1, 2 HAVING count(*) >= 3",
     "stub_pages": f"""WITH {EL}, p AS (SELECT doc_id, page, sum(length(t)) + count(*) - 1 AS n, sum({n('https?://', 't')}) AS u FROM (SELECT doc_id, page, coalesce(regexp_replace(text, '(?i)table', 'https://a.b https://c.d https://e.f https://g.h', 'g'), '') AS t FROM el WHERE kind = 'text') GROUP BY 1, 2)
 SELECT doc_id, page FROM p WHERE n > 200 AND u >= 3 AND u * 60 > n""",
+    "stub_pages_plain": f"""WITH {EL}, p AS (SELECT doc_id, page, sum(length(t)) + count(*) - 1 AS n, sum({n('https?://', 't')}) AS u, string_agg(t, chr(10) ORDER BY idx) AS whole FROM (SELECT doc_id, page, idx, coalesce(text, '') AS t FROM el WHERE kind = 'text') GROUP BY 1, 2)
+SELECT doc_id, page FROM p WHERE n > 200 AND u >= 3 AND u * 60 > n OR regexp_matches(whole, '(?i)linked citations') OR regexp_full_match(lower(whole), '\\s*www\\.example\\.org\\s*')""",
     "rule_repairs": f"WITH {EL} SELECT doc_id, page, idx, {RULED} AS repaired FROM el WHERE kind = 'text' AND text IS NOT NULL",
     "font_stacks": f"WITH {EL} SELECT font, CASE WHEN regexp_matches(lower(coalesce(font, '')), 'times|serif|tiro|nimbusrom|minion|georgia|cmr') THEN 'serif' WHEN regexp_matches(lower(coalesce(font, '')), 'cour|mono|consol') THEN 'monospace' ELSE 'sans-serif' END AS family, count(*) AS n FROM el GROUP BY 1, 2",
     "formula_overrides": f"WITH {EL}, {OVERRIDES} SELECT doc_id, page, idx, text, g.new_text FROM el JOIN (SELECT regexp_replace(src_text, '\\s+', '', 'g') AS k, min(new_text) AS new_text FROM f GROUP BY 1) g ON g.k = regexp_replace(text, '\\s+', '', 'g') WHERE kind = 'formula'",
@@ -308,8 +325,8 @@ SELECT doc_id, page, block, regexp_replace(string_agg(t, ' ' ORDER BY o), '([a-z
 SELECT doc_id, page, idx, want, array_to_string(CASE WHEN n = 0 THEN list_transform(range(want), lambda i: '') WHEN n = want THEN zh WHEN n > want AND len(ps) = want THEN ps WHEN n > want AND want = 1 THEN [j]
 WHEN n > want THEN list_transform(range(want), lambda i: array_to_string(list_slice(zh, i * per + 1, CASE WHEN i < want - 1 THEN i * per + per ELSE n END), '')) ELSE list_slice(list_concat(ps, list_transform(range(greatest(want - len(ps), 0)), lambda i: '')), 1, want) END, '|') AS segs,
 CASE WHEN n = 0 THEN 'empty' WHEN n = want THEN '' WHEN n > want AND len(ps) = want THEN 'resplit' WHEN n > want THEN 'merged' WHEN len(ps) < want THEN 'split+padded' ELSE 'split' END AS note FROM b""",
-    "zh_reconcile": f"""WITH {EL}, {TR}, {WANT}, a AS (SELECT want.*, list_transform(coalesce(segs, []), lambda z: coalesce(z, '')) AS zh, {NONBLANK} AS nb FROM want JOIN tr USING (doc_id, page, idx)),
-b AS (SELECT *, CASE WHEN len(zh) = want THEN zh WHEN want = 1 THEN [array_to_string(nb, '')] ELSE list_transform(range(1, want + 1), lambda i: coalesce(zh[i], '')) END AS f FROM a)
+    "zh_reconcile": f"""WITH {EL}, {TR}, {WANT}, a AS (SELECT want.*, list_transform(coalesce(segs, []), lambda z: {trim("regexp_replace(coalesce(z, ''), '^[[:space:]]*第[[:space:]]*[IVX]+[[:space:]]*卷[[:space:]]*[（(][^）)]*[）)][[:space:]]*', '')")}) AS zh FROM want JOIN tr USING (doc_id, page, idx)),
+b AS (SELECT *, list_filter(zh, lambda z: z <> '') AS nb, CASE WHEN len(zh) = want THEN zh WHEN want = 1 THEN [array_to_string(list_filter(zh, lambda z: z <> ''), '')] ELSE list_transform(range(1, want + 1), lambda i: coalesce(zh[i], '')) END AS f FROM a)
 SELECT doc_id, page, idx, want, CAST(len(zh) AS INTEGER) AS n_segs, array_to_string(f, '|') AS segs, CAST(len(list_filter(f, lambda z: {trim('z')} = '')) AS INTEGER) AS blanks FROM b""",
     "translation_audit": f"""WITH {EL}, {TR}, {WANT}, j AS (SELECT want.*, segs, tr.doc_id IS NOT NULL AS has FROM want LEFT JOIN tr ON tr.doc_id = want.doc_id AND tr.page = want.page AND tr.idx = want.idx WHERE want.doc_id IN ({SCOPE})),
 e AS (SELECT doc_id, page, idx, i - 1 AS sent, coalesce({trim('segs[i]')}, '') AS z, coalesce({trim('sentences[i]')}, '') AS s FROM (SELECT *, unnest(range(1, want + 1)) AS i FROM j WHERE has AND len(segs) = want))
