@@ -100,7 +100,7 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Upper estimate of a plan's size from Catalyst's statistics; runs no job."""
+    """Estimate of a plan's size from Catalyst's statistics; runs no job. It is no bound: files are compressed, and rows may be unfolded."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
@@ -118,14 +118,19 @@ def is_small(table: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """df with a broadcast hint if the planner's estimate proves it small, else as it is (shuffled join, skew left to AQE)."""
-    return F.broadcast(df) if planned_bytes(df) <= limit else df
+    """df with a broadcast hint if it is small, else as it is (shuffled join, skew left to AQE). A written table is counted; of
+    other plans the planner's estimate must be far below the limit."""
+    return F.broadcast(df) if _small(df, limit) else df
+
+
+def _small(df: DataFrame, limit: int) -> bool:
+    return is_small(df, limit) if hasattr(df, "_path") else planned_bytes(df) <= limit // 4
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salt_from: list[str] | None = None, salts: int = 16) -> DataFrame:
     """Equi-join that survives hot keys on the left. A right side of proven size is broadcast; a larger one is copied
     `salts` times and joined on (key, salt), the salt of a left row being a hash of `salt_from`."""
-    if planned_bytes(right) <= BROADCAST_LIMIT:
+    if _small(right, BROADCAST_LIMIT):
         return left.join(F.broadcast(right), on, how)
     salt = F.pmod(F.xxhash64(*(salt_from or left.columns)), F.lit(salts)).cast("int")
     many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
