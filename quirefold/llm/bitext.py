@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.session import discard, join_hot, materialize, settings
+from quirefold.session import discard, is_small, join_hot, materialize, settings
 
 #: Least cosine of the concept vectors of translations.
 LEAST_COSINE = 0.12
@@ -149,28 +149,33 @@ def _ranked(cells: DataFrame, least: float = 2.0) -> DataFrame:
     return s
 
 
+def _listed(t: DataFrame) -> DataFrame:
+    """(pair, block, sid, direction, terms): the terms of each sentence of a side in one row."""
+    return t.groupBy(*PLACE, "sid", "direction").agg(F.collect_list("term").alias("terms"))
+
+
 def _lexicon(concepts: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(direction, term, to): for each term all its translations (as_term, alike), alike being the cosine of the concept vectors,
-    relative to the term's best. Terms of one concept only have no vector to speak of; what their numbers of concepts rule out is left out at once."""
-    concept = ["pair", "sid_a", "sid_b"]
-    of_a = concepts.join(a.select(*PLACE, F.col("sid").alias("sid_a"), "direction", "term"), [*PLACE, "sid_a"])
-    of_b = concepts.join(b.select(*PLACE, F.col("sid").alias("sid_b"), "direction", "term"), [*PLACE, "sid_b"])
-
-    def listed(t: DataFrame, name: str) -> DataFrame:
-        t = t.select(*concept, "direction", "term")
-        often = t.groupBy("direction", "term").agg(F.count("*").alias("n")).filter("n >= 2")
-        return join_hot(t, often, ["direction", "term"], salt_from=concept).groupBy(*concept, "direction").agg(F.collect_list(F.struct("term", F.col("n").cast("int").alias("n"))).alias(name))
-
-    both = listed(of_a, "ta").join(listed(of_b, "tb"), [*concept, "direction"])
-    x, y = F.col("x.n"), F.col("y.n")
-    met = both.select("direction", F.explode("ta").alias("x"), "tb").select("direction", "x", F.explode("tb").alias("y"))
-    met = met.filter((F.col("x.term") != F.col("y.term")) & (F.least(x, y) - 0.7 >= LEAST_COSINE * F.sqrt(x.cast("double") * y)))
-    together = met.select("direction", F.col("x.term").alias("term"), F.col("y.term").alias("as_term"), x.alias("na"), y.alias("nb"))
-    scored = together.groupBy("direction", "term", "as_term").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb")).filter("n >= 2")
-    scored = scored.withColumn("alike", (F.col("n") - 0.7) / F.sqrt(F.col("na").cast("double") * F.col("nb"))).filter(F.col("alike") >= LEAST_COSINE)
-    top = F.max("alike").over(Window.partitionBy("direction", "term"))
-    found = scored.withColumn("top", top).select("direction", "term", "as_term", F.least(F.lit(1.0), F.col("alike") / F.greatest("top", F.lit(0.5))).alias("alike"))
-    return found.groupBy("direction", "term").agg(F.collect_list(F.struct("as_term", "alike")).alias("to"))
+    relative to the term's best; a and b are the sentences of both sides as _listed gives them. Terms of one concept only
+    have no vector to speak of; what their numbers of concepts rule out is left out before it is shuffled, if these numbers
+    are few enough to be broadcast."""
+    side = lambda t, s: t.select(*PLACE, F.col("sid").alias(f"sid_{s}"), *(["direction"] if s == "a" else []), F.col("terms").alias(f"t{s}"))
+    both = concepts.join(side(a, "a"), [*PLACE, "sid_a"]).join(side(b, "b"), [*PLACE, "sid_b"])
+    both = materialize(both.select("direction", "ta", "tb"), "p2-vectors")  # one row per concept
+    often = {s: materialize(both.select("direction", F.explode(f"t{s}").alias(f"t{s}")).groupBy("direction", f"t{s}").agg(F.count("*").cast("int").alias(f"n{s}")).filter(f"n{s} >= 2"), "p2-often") for s in "ab"}
+    few = is_small(often["a"]) and is_small(often["b"])
+    with_n = lambda df, s: df.join(F.broadcast(often[s]) if few else often[s], ["direction", f"t{s}"])
+    cosine = lambda n: (n - 0.7) / F.sqrt(F.col("na").cast("double") * F.col("nb"))
+    met = both.select("direction", F.explode("ta").alias("ta"), "tb")
+    met = (with_n(met, "a") if few else met).select("direction", "ta", *(["na"] if few else []), F.explode("tb").alias("tb")).filter("ta <> tb")
+    if few:
+        met = with_n(met, "b").filter(cosine(F.least("na", "nb")) >= LEAST_COSINE)
+    together = met.groupBy("direction", "ta", "tb").agg(F.count("*").alias("n")).filter("n >= 2")
+    scored = with_n(with_n(together, "a"), "b").withColumn("alike", cosine(F.col("n"))).filter(F.col("alike") >= LEAST_COSINE)
+    to = F.collect_list(F.struct(F.col("tb").alias("as_term"), "alike")).alias("to")
+    found = scored.groupBy("direction", F.col("ta").alias("term")).agg(F.max("alike").alias("top"), to)
+    relative = F.transform("to", lambda x: F.struct(x.as_term.alias("as_term"), F.least(F.lit(1.0), x.alike / F.greatest("top", F.lit(0.5))).alias("alike")))
+    return found.select("direction", "term", relative.alias("to"))
 
 
 def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -195,12 +200,13 @@ def aligned_sentences(elements: DataFrame, pairs: DataFrame, rounds: int = ROUND
 def _learned(a: DataFrame, b: DataFrame, rounds: int) -> DataFrame | None:
     """The lexicon after some rounds, each from the mutual best pairs that the one before gives."""
     lexicon = None
+    of_a, of_b = materialize(_listed(a), "p2-listed"), materialize(_listed(b), "p2-listed")
     for r in range(rounds):
         ranked = _ranked(_cells(*_vectors(a, b, lexicon)))
         clear = (F.col("rate") > CLEAR * F.col("next_a")) & (F.col("rate") > CLEAR * F.col("next_b"))
         mutual = ranked.filter((F.col("rank_a") == 1) & (F.col("rank_b") == 1) & clear & (F.col("sim") >= (ANCHOR_SIM if r else FIRST_SIM)))
         concepts = materialize(mutual.select(*PLACE, "sid_a", "sid_b"), "p2-concepts")
-        last, lexicon = lexicon, materialize(_lexicon(concepts, a, b), "p2-lexicon")
+        last, lexicon = lexicon, materialize(_lexicon(concepts, of_a, of_b), "p2-lexicon")
         discard(concepts, *([last] if last is not None else []))
     return lexicon
 

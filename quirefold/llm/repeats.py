@@ -86,10 +86,9 @@ def repeated_blocks(elements: DataFrame, docs: DataFrame, min_share: float = MIN
     first = join_hot(once, by_doc, ["doc_id"], salt_from=["sym"]).groupBy("source", "sym").agg(F.count("*").alias("docs"))
     frequent = materialize(_ranked(first.join(small(need), "source").filter(F.col("docs") >= F.col("need")).select("source", "sym"), ["sym"]), "p1-symbols")
     held = all_lines.join(small(frequent.select("sym").distinct()), "sym", "left_semi")
-    held = join_hot(join_hot(held, by_doc, ["doc_id"], salt_from=["page", "idx"]), frequent, ["source", "sym"], salt_from=[*KEY]).dropDuplicates([*KEY, "line_no"])
-    # numbers of lines are needed in documents with frequent lines only
+    held = materialize(join_hot(join_hot(held, by_doc, ["doc_id"], salt_from=["page", "idx"]), frequent, ["source", "sym"], salt_from=[*KEY]).dropDuplicates([*KEY, "line_no"]), "p1-lines")
     counted = elements.dropna(subset=["text", *KEY]).select(*KEY, F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"\p{L}"))).alias("of")).dropDuplicates(KEY)
-    places = join_hot(held, _first_places(counted), KEY, salt_from=["line_no"]).withColumn("pos", F.col("first") + F.col("nth"))
+    places = _first_places(counted).join(small(held), KEY).withColumn("pos", F.col("first") + F.col("nth"))
     suffixes = materialize(places.select(*_STATE, "page", "idx", "line_no", "letters", "n_letters"), "p1-suffixes")
     rounds = [suffixes.select(*_STATE)]
     while True:

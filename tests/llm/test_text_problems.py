@@ -194,13 +194,14 @@ def test_blocks_change_nothing(spark, make_elements, monkeypatch):
     monkeypatch.setattr(bitext, "BLOCK", 7)
     assert got() == whole and len(whole) == 30
     monkeypatch.setattr(bitext, "LEXICON_BYTES", 0)
+    monkeypatch.setattr(bitext, "is_small", lambda t: False)
     assert got() == whole
 
 
 def test_all_translations_and_frequent_terms(spark):
     side = lambda ts: spark.createDataFrame([(1, 0, s, 7, t) for s in range(3) for t in ts], "pair bigint, block int, sid int, direction int, term bigint")
     concepts = spark.createDataFrame([(1, 0, s, s) for s in range(3)], "pair bigint, block int, sid_a int, sid_b int")
-    got = bitext._lexicon(concepts, side([1]), side(range(10, 22))).collect()
+    got = bitext._lexicon(concepts, bitext._listed(side([1])), bitext._listed(side(range(10, 22)))).collect()
     assert {x.as_term for r in got if r.term == 1 for x in r.to} == set(range(10, 22))
     t = spark.createDataFrame([(1, "a", "en", s, x) for s in range(40) for x in ("1", f"{100 + s}")], "pair bigint, side string, lang string, sid int, term string")
     kept = bitext._weighted(t, t.select("lang", "sid").distinct()).groupBy("term").count().collect()
