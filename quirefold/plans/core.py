@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as T
-from quirefold.operators import align, audit, folds, heads, layout, lexicon, render, rules
+from quirefold.operators import align, audit, folds, heads, layout, lexicon, render, rewrites, rules
 from quirefold.plans.core_sql import SQL
 from quirefold.sources.tables import table
+from quirefold.streaming import deliveries
 
 KEY = ["doc_id", "page", "idx"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -495,6 +496,72 @@ def page_render(spark: SparkSession, d: str) -> DataFrame:
     return render.page_html(geometry(spark, d), translations(spark, d))
 
 
+@query
+def page_layout_render(spark: SparkSession, d: str) -> DataFrame:
+    e = elements(spark, d, "kind", "bbox", "text", "size", "sentences", "font", "style")
+    return render.laid_pages(e, pages(spark, d), translations(spark, d)).select("doc_id", "page", F.length("html").alias("characters"), F.xxhash64("html").alias("hash"))
+
+
+# --- rewrites ---
+
+
+@query
+def heads_stripped(spark: SparkSession, d: str) -> DataFrame:
+    """On heads written in: the first sentence of every third element, and its first segment, begin with a volume line and a page number."""
+    third = (F.col("idx") + F.col("page")) % 3 == 0
+    ahead = lambda c, x: F.when(third & (F.size(c) > 0), F.concat(F.array(F.concat(F.lit(x), F.coalesce(F.element_at(c, 1), F.lit("")))), F.slice(c, 2, F.size(c)))).otherwise(F.col(c))
+    e = elements(spark, d, "kind", "sentences").withColumn("sentences", ahead("sentences", "1655 Vol. XX (May 1990) "))
+    t = translations(spark, d).withColumn("segs", ahead("segs", "1655 《期刊》（1990年5月），"))
+    r = rewrites.strip_both(e, t)
+    return r.select(*KEY, F.array_join("sentences", "|").alias("sentences"), F.array_join("segs", "|").alias("segs"), "dropped", "dropped_segs")
+
+
+@query
+def folios_blanked(spark: SparkSession, d: str) -> DataFrame:
+    """Elements and translations that are left after page numbers were emptied, counted by page."""
+    e, t = rewrites.blank_folios(geometry(spark, d), pages(spark, d), align.newest(translations(spark, d)))
+    said = e.filter("text <> ''").groupBy(*layout.PAGE).agg(F.count("*").alias("texts"))
+    return said.join(t.groupBy(*layout.PAGE).agg(F.count("*").alias("translated")), layout.PAGE, "full_outer").select(*layout.PAGE, "texts", "translated")
+
+
+@query
+def references_unified(spark: SparkSession, d: str) -> DataFrame:
+    """On the last page of each document."""
+    p = pages(spark, d)
+    last = p.groupBy("doc_id").agg(F.max("page").alias("page"))
+    return rewrites.unified_references(geometry(spark, d), p, last).select(*KEY, "text")
+
+
+@query
+def references_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth text element is taken for a continuation of the one before."""
+    e = elements(spark, d, "kind", "text")
+    r = rewrites.rejoined(e, translations(spark, d), e.filter("kind = 'text' and idx % 5 = 4"))
+    return r.select(*KEY, "text", F.array_join("segs", "|").alias("segs"))
+
+
+@query
+def tails_moved(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences that continuation_stitch finds, moved to their hosts."""
+    e = elements(spark, d, "kind", "sentences")
+    s = align.stitch(e).select(*KEY, F.col("page").alias("tail_page"), F.col("next_idx").alias("tail_idx"), T.trimmed("tail").alias("expected"))
+    s = s.filter("idx % 2 = 0").join(s.filter("idx % 2 = 0").select("doc_id", F.col("tail_page").alias("page"), F.col("tail_idx").alias("idx")), KEY, "left_anti")
+    changed, _ = rewrites.moved_tails(e, translations(spark, d), s)
+    return changed.select(*KEY, "text", F.array_join("segs", "|").alias("segs"))
+
+
+@query
+def self_checks(spark: SparkSession, d: str) -> DataFrame:
+    e = elements(spark, d, "kind", "bbox", "text", "size", "sentences")
+    return rewrites.self_checks(e, pages(spark, d), translations(spark, d))
+
+
+@query
+def delivery_volumes(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming operator over the table as a batch: volumes by day and kind of the elements that arrived."""
+    return deliveries.volumes(table(spark, d, "elements").select(*KEY, "kind", "text", "ingested_at"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

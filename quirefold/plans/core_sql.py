@@ -338,4 +338,9 @@ UNION ALL SELECT doc_id, page, idx, CAST(sent AS INTEGER), 'placeholder' FROM e
 n AS (SELECT doc_id, page, idx, regexp_replace(text, '[\\s\\x{{A0}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}]+', '', 'g') AS k FROM nw WHERE text IS NOT NULL)
 SELECT a.doc_id, a.page, old_idx, CAST(new_idx AS INTEGER) AS new_idx FROM (SELECT doc_id, page, k, min(idx) AS old_idx FROM o GROUP BY 1, 2, 3 HAVING count(*) = 1 AND k <> '') a JOIN (SELECT doc_id, page, k, min(idx) AS new_idx FROM n GROUP BY 1, 2, 3 HAVING count(*) = 1 AND k <> '') b USING (doc_id, page, k)""",
     "stage_stats": f"WITH {EL} SELECT doc_id, count(*) FILTER (kind = 'text') AS texts, count(*) FILTER (kind = 'formula') AS formulas, count(*) FILTER (kind = 'image') AS images, CAST(sum(CASE WHEN kind = 'text' THEN coalesce(len(sentences), 0) ELSE 0 END) AS BIGINT) AS sentences, coalesce(array_to_string(list_sort(list_distinct(list(font))), ','), '') AS fonts FROM el GROUP BY 1",
+    "folios_blanked": f"""WITH {EL}, {GEO}, {TR}, f AS (SELECT doc_id, page, idx FROM el JOIN geo USING (doc_id, page) WHERE bbox IS NOT NULL AND kind IN ('text', 'formula') AND regexp_full_match({trim('text')}, '[0-9]{{1,4}}') AND x1 - x0 <= 0.12 * width AND (y1 < 0.12 * height OR y0 > 0.9 * height)),
+a AS (SELECT doc_id, page, count(*) AS texts FROM el ANTI JOIN f USING (doc_id, page, idx) WHERE text <> '' GROUP BY 1, 2), b AS (SELECT doc_id, page, count(*) AS translated FROM tr ANTI JOIN f USING (doc_id, page, idx) GROUP BY 1, 2) SELECT doc_id, page, texts, translated FROM a FULL JOIN b USING (doc_id, page)""",
+    "references_unified": f"""WITH {EL}, {GEO}, l AS (SELECT doc_id, max(page) AS page FROM pages_geo GROUP BY 1)
+SELECT doc_id, page, idx, {trim('text')} AS text FROM el JOIN geo USING (doc_id, page) JOIN l USING (doc_id, page) WHERE kind = 'text' AND bbox IS NOT NULL AND len(sentences) >= 2 AND x1 - x0 >= 0.6 * width / 2 AND coalesce({trim('text')}, '') <> ''""",
+    "delivery_volumes": "SELECT date_trunc('day', ingested_at)::TIMESTAMP AS day, kind, count(*) AS n, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS characters FROM elements WHERE ingested_at IS NOT NULL GROUP BY 1, 2",
 }
