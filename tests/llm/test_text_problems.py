@@ -67,6 +67,23 @@ def test_scripts_survive(spark, make_elements):
     assert got == {t: c or t for t, c in cases.items()}
 
 
+def test_tokens_of_several_scripts(spark, make_elements):
+    """Where no single script has all letters, the spelling that the texts use most stands for all that look like it."""
+    cyrillic, latin = "в Windowsами", "в Windowsaми"  # the a alone differs
+    for most, other in ((cyrillic, latin), (latin, cyrillic)):
+        e = make_elements(*[{"doc_id": 1, "idx": i, "text": t} for i, t in enumerate([most] * 3 + [other, most.replace("Win", "Win\u200b")] + ["xไทย", "хไทย", "γo−N"])])
+        got = {r.text: r.canonical for r in lookalike.consistent_text(e).collect()}
+        assert {got[t] for t in got if "ind" in t or "Win" in t} == {most}
+        assert got["γo−N"] == "γo−N" and got["xไทย"] == got["хไทย"] == "xไทย"
+        pairs = {(r.idx_a, r.idx_b) for r in lookalike.lookalike_pairs(e).collect()}
+        assert pairs == {(0, 3), (1, 3), (2, 3), (0, 4), (1, 4), (2, 4), (3, 4), (5, 6)}
+    few, many = "Zoom-дом", "Zооm-дом"  # few and many changes of script
+    for n, want in ((1, few), (2, many)):
+        t = lookalike.Trie()
+        t.add(few, 1), t.add(many, n)
+        assert lookalike.canonical(t, few, "LATIN") == lookalike.canonical(t, many, "LATIN") == want
+
+
 # --- sentence boundaries ---
 
 UNITS = {
