@@ -9,25 +9,29 @@ forward-backward posteriors decide.
 Training needs no labels for a language or script: the end of a text that is to be cut is the end of a sentence and its
 begin a beginning, so an n-gram that ends sentences is found at ends of texts at the rate of sure terminators. From there
 expectation-maximisation with the posteriors refines all counts, over all texts. Elements that have sentences add labelled
-gaps, a bounded sample of them.
+gaps, all of them, counted once; only n-grams of the texts to be cut are kept.
 """
 
 from __future__ import annotations
 
+import marshal
 import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.session import frequent, join_hot, least_frequent, materialize
+from quirefold.session import frequent, join_hot, least_frequent, materialize, small
+from quirefold.sources.tables import rows_once
 
 KEY = ["doc_id", "page", "idx"]
-#: Labelled elements used in training, a sample of about this size by hash of their key; n-grams that tasks hold, the most frequent, while the rest is joined; rounds of EM.
-LABELLED, NGRAMS, ROUNDS = 20_000, 200_000, 4
+#: N-grams that tasks hold, the most frequent, while the rest is joined; rounds of EM.
+NGRAMS, ROUNDS = 200_000, 4
 
 # Signs that can end a sentence, closers, and pairs of quotation marks and brackets.
 ENDERS = ".!?…。！？．｡।॥؟۔։።။។"
@@ -42,9 +46,12 @@ _WIDE = "。！？．｡।॥؟۔։።။។"
 _GAP = re.compile(
     rf"(?P<hard>[ \t\r]*\n\s*\n\s*)|(?P<end>[{re.escape(ENDERS)}]+(?:[   ]?[»›]|[{re.escape(CLOSERS)}])*[{re.escape(ENDERS)}]*)(?P<sp>\s*)|(?P<th>(?<=[฀-໿ក-៿က-႟0-9”\"»）)])[ \t\n​]+(?=[฀-໿ក-៿က-႟0-9“\"«（(]))|(?P<nl>[ \t\r]*\n[ \t\r]*)"
 )
+_TAIL = re.compile(rf"[{re.escape(ENDERS)}]+[{re.escape(CLOSERS)}   ]*$")
+_BLANK_LINE = re.compile(r"\n\s*\n")
 _AFTER = re.compile(rf"(?P<signs>[{re.escape(ENDERS + CLOSERS)}]*)\s*")
 _NOSPACE = re.compile(r"[฀-໿ក-៿က-႟]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+_UNSPACED = re.compile(r"[฀-໿ក-៿က-႟぀-ヿ㐀-鿿豈-﫿]")
 _DIGITS = re.compile(r"\d+(?:[.,:]\d+)*")
 
 
@@ -89,6 +96,10 @@ def _chunk(text: str, end: int) -> tuple[str, int]:
     e = end
     while e > 0 and text[e - 1].isspace():
         e -= 1
+    near = text[max(0, e - 40) : e]
+    if near and not _UNSPACED.search(near):
+        token = near.rsplit(None, 1)[-1]
+        return token, e - len(token)
     b, signs = e, 0
     limit = None
     while b > 0 and not text[b - 1].isspace() and e - b < 40:
@@ -101,11 +112,13 @@ def _chunk(text: str, end: int) -> tuple[str, int]:
     return text[b:e], b
 
 
+@lru_cache(maxsize=1 << 16)
 def _norm(token: str) -> str:
     t = _DIGITS.sub("0", token.strip("«‹「『《〈（【［([“„\"¿¡")).lower()
     return "I." if len(token) == 2 and token[0].isupper() and token[1] == "." else t
 
 
+@lru_cache(maxsize=1 << 16)
 def _left_shape(token: str, kind: str, gap: str) -> str:
     core = token.rstrip(ENDERS + CLOSERS + EITHER + "   ").lstrip("«‹「『《〈（【［([“„\"¿¡")
     tail = "q" if token[-1:] in CLOSERS + EITHER else ""
@@ -151,10 +164,10 @@ def _caseless(text: str, at: int, kind: str) -> bool:
     return at > 0 and unicodedata.category(text[at - 1]) == "Lo"
 
 
-def gaps(text: str) -> list[tuple]:
+def gaps(text: str, right: bool = True) -> list[tuple]:
     """Gaps where a boundary is possible: (end of the unit, certainty: 1 hard, 0 open, -1 ruled out, whether the gap before
     is just one token away, left bigram, left bigram if a sentence begins after the gap before, left unigram, left shape,
-    right token, right shape, kind). The last one is the end of the text."""
+    right token, right shape, kind). The last one is the end of the text. Without `right`, right tokens and shapes are empty."""
     spans, out, last = _spans(text), [], -1
     closing = {b for _, b in spans if text[b] in EITHER}
     stop, lead = len(text.rstrip()), len(text) - len(text.lstrip())
@@ -165,8 +178,7 @@ def gaps(text: str) -> list[tuple]:
         if b >= a + 2:
             inside[a + 2] += 1
             inside[b + 1] -= 1
-    for i in range(1, len(inside)):
-        inside[i] += inside[i - 1]
+    inside = list(accumulate(inside))
 
     def add(end: int, at: int, kind: str, gap: str, sure: int) -> None:
         nonlocal last
@@ -174,7 +186,7 @@ def gaps(text: str) -> list[tuple]:
         left = _norm(token) + ("_" if kind == " " else "\n" if kind == "n" and not sure else "")  # a line break tells apart
         before = _norm(_chunk(text, b)[0]) if b else "<s>"
         adjacent = last >= 0 and not text[last:b].strip()
-        r, rs = _right(text, at) if at < stop else ("", "")
+        r, rs = _right(text, at) if right and at < stop else ("", "")
         out.append((end, sure, adjacent, f"{before} {left}", f"<s> {left}", left, _left_shape(token, kind, gap), r, rs, kind))
         last = end
 
@@ -198,7 +210,7 @@ def gaps(text: str) -> list[tuple]:
                 if not (after.isupper() and before.isalpha() and before.islower() or after.isupper() and kind in "!?" or _caseless(text, m.start(), kind)):
                     continue
             gap = "0" if at == end else "n" if "\n" in space else "s"
-            sure = 1 if re.search(r"\n\s*\n", space) else 0
+            sure = 1 if "\n" in space and _BLANK_LINE.search(space) else 0
         elif m.group("hard") is not None:
             kind, gap, sure = "n", "h", 1
         elif m.group("th") is not None:
@@ -214,7 +226,7 @@ def gaps(text: str) -> list[tuple]:
         if out and out[-1][0] == end:
             continue
         add(end, at, kind, gap, sure)
-    tail = re.search(rf"[{re.escape(ENDERS)}]+[{re.escape(CLOSERS)}   ]*$", text[:stop])
+    tail = _TAIL.search(text, 0, stop)
     signs = tail.group().rstrip(CLOSERS + "   ") if tail else ""
     kind = ("w" if signs[-1] in _WIDE else "…" if "…" in signs or signs.endswith("..") else signs[-1]) if signs else " " if _NOSPACE.search(text[max(0, stop - 3) : stop]) else "n"
     add(stop, len(text), kind if kind in PRIOR else ".", "s", 1)
@@ -385,7 +397,7 @@ def _place(out: dict, level: str, name: str, e: float, w: float, k: float = 1.0)
     out[level, name] = (x[0] + e, x[1] + w, x[2] + k)
 
 
-def _places(out: dict, text: str, found: list[tuple], w: float) -> None:
+def _places(out: dict, begin: str, found: list[tuple], w: float) -> None:
     """Ends and begins of a text, and the places where its n-grams stand; w is one over its sentences."""
     for g in found:
         if g[1] >= 0:
@@ -393,9 +405,8 @@ def _places(out: dict, text: str, found: list[tuple], w: float) -> None:
             _place(out, "EU", g[5], float(g[1]), w)
         if g[1] == 0 and g[9] != "n":
             _place(out, "ER", f"{g[8]} {g[7]}", 0.0, w)
-    token, rshape = _right(text, len(text) - len(text.lstrip()))
-    _place(out, "ER", f"{rshape} {token}", 1.0, 0.0, 0.0)
-    _place(out, "EW", f"{rshape} {token}", w, 0.0)
+    _place(out, "ER", begin, 1.0, 0.0, 0.0)
+    _place(out, "EW", begin, w, 0.0)
 
 
 def _left_counts(out: dict, g: tuple, p: float) -> None:
@@ -413,25 +424,30 @@ def _table(out: dict) -> pd.DataFrame:
     return pd.DataFrame([(k[0], k[1], v[0], v[1], v[2] if len(v) > 2 else 0.0) for k, v in out.items()], columns=["level", "name", "b", "n", "k"])
 
 
+def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The gaps of each text, packed, and the token that begins it with its shape."""
+    for f in frames:
+        begins = [_right(t, len(t) - len(t.lstrip())) for t in f.text]
+        yield f[KEY].assign(gaps=[marshal.dumps(gaps(t)) for t in f.text], begin=[f"{rshape} {token}" for token, rshape in begins])
+
+
+def _with_gaps(cut: DataFrame) -> DataFrame:
+    """Texts to be cut, to (doc_id, page, idx, gaps, begin), written once for all rounds."""
+    return materialize(_spread(cut).mapInPandas(_found, "doc_id bigint, page int, idx int, gaps binary, begin string"), "p3-gaps")
+
+
 def _expect(model: Model | None):
-    """Counts of a batch: without a model those of round 0, else expected ones. Elements with sentences are labelled; they
-    teach left contexts only, since all their gaps were found by other means."""
+    """Counts of a batch of texts to be cut: without a model those of round 0, else expected ones."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out: dict = {}
-            for text, sentences, rare in zip(f.text, f.sentences, _rare(f)):
-                found = gaps(text)
+            for packed, begin, rare in zip(f.gaps, f.begin, _rare(f)):
+                found = marshal.loads(packed)
                 if not found:
                     continue
-                if sentences is not None and len(sentences):
-                    if model is not None:
-                        for g, y in zip(found[:-1], labels(text, list(sentences), found)):
-                            if y is not None and g[1] == 0:
-                                _left_counts(out, g, float(y))
-                    continue
                 post = _posteriors(model, found, rare) if model else None
-                _places(out, text, found, 1 / max(1.0, sum(post) if model else sum(g[1] == 1 or g[1] == 0 and g[9] != "n" for g in found)))
+                _places(out, begin, found, 1 / max(1.0, sum(post) if model else sum(g[1] == 1 or g[1] == 0 and g[9] != "n" for g in found)))
                 for g, p in zip(found, post or ()):
                     if g[1] >= 0:
                         _left_counts(out, g, p)
@@ -442,6 +458,29 @@ def _expect(model: Model | None):
     return run
 
 
+def _taught(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of a batch of elements that have sentences. They teach left contexts only, since all their gaps were found by
+    other means."""
+    for f in frames:
+        out: dict = {}
+        for text, sentences in zip(f.text, f.sentences):
+            found = gaps(text, right=False)
+            for g, y in zip(found[:-1], labels(text, list(sentences), found)):
+                if y is not None and g[1] == 0:
+                    _left_counts(out, g, float(y))
+        yield _table(out)
+
+
+def _left_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The left contexts that a model of these texts is asked for."""
+    for f in frames:
+        out = set()
+        for packed in f.gaps:
+            for g in marshal.loads(packed):
+                out |= {("B", g[3]), ("B", g[4]), ("U", g[5]), ("C", g[6])}
+        yield pd.DataFrame(sorted(out), columns=["level", "name"])
+
+
 _GRAM = "level string, name string, b double, n double, k double"
 
 
@@ -463,7 +502,7 @@ def _posteriors(model: Model, found: list[tuple], rare: list[tuple]) -> list[flo
 def _missing(model: Model):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(d, p, i, *x) for d, p, i, text in zip(f.doc_id, f.page, f.idx, f.text) for x in sorted(model.missing(gaps(text)))]
+            rows = [(d, p, i, *x) for d, p, i, packed in zip(f.doc_id, f.page, f.idx, f.gaps) for x in sorted(model.missing(marshal.loads(packed)))]
             yield pd.DataFrame(rows, columns=[*KEY, "level", "name"])
 
     return run
@@ -473,20 +512,18 @@ def _with_rare(cut: DataFrame, model: Model | None, rest: DataFrame | None) -> D
     """Texts to be cut with `rare`, the counts of their n-grams that the model doesn't hold, if there are any."""
     if rest is None:
         return cut
-    asked = _spread(cut.select(*KEY, "text")).mapInPandas(_missing(model), "doc_id bigint, page int, idx int, level string, name string")
+    asked = _spread(cut.select(*KEY, "gaps")).mapInPandas(_missing(model), "doc_id bigint, page int, idx int, level string, name string")
     known = join_hot(asked, rest.select("level", "name", "b", "n", "k"), ["level", "name"], salt_from=KEY)
     listed = known.groupBy(*KEY).agg(F.collect_list(F.struct("level", "name", "b", "n", "k")).alias("rare"))
     return cut.join(listed, KEY, "left")
 
 
-def _counts(rows: DataFrame, model: Model | None, rest: DataFrame | None) -> tuple[dict, dict, DataFrame | None, float]:
+def _counts(cut: DataFrame, taught: DataFrame | None, model: Model | None, rest: DataFrame | None) -> tuple[dict, dict, DataFrame | None, float]:
     """(ends, counts, further n-grams, rate) of a round: ends and counts of shapes and the most frequent n-grams, and a table of
-    all the others, if there are others. The rate is that of all n-grams."""
-    if rest is not None:
-        labelled = F.col("sentences").isNotNull()
-        cut = _with_rare(rows.filter(~labelled), model, rest)
-        rows = cut.unionByName(rows.filter(labelled), allowMissingColumns=True)
-    t = _spread(rows.select("text", "sentences", *(["rare"] if rest is not None else []))).mapInPandas(_expect(model), _GRAM)
+    all the others, if there are others. The rate is that of all n-grams. `taught` are the counts of labelled gaps, if they count."""
+    rows = _with_rare(cut, model, rest)
+    t = _spread(rows.select("gaps", "begin", *(["rare"] if rest is not None else []))).mapInPandas(_expect(model), _GRAM)
+    t = t if taught is None else t.unionByName(taught)
     sums = [F.round(F.sum(c), 6).alias(c) for c in ("b", "n", "k")]  # rounded, as the order of sums differs
     total = materialize(t.groupBy("level", "name").agg(*sums).withColumn("often", F.greatest("n", "k")), "p3-counts")
     grams = F.col("level").isin("B", "I", "R", "U", "EB", "EU", "ER", "EW")
@@ -549,18 +586,25 @@ def _rate_of_table(total: DataFrame) -> float:
     return min(3.0, max(0.5, round(pooled, 9)))
 
 
+def labelled_counts(elements: DataFrame, cut: DataFrame) -> DataFrame:
+    """Counts of the left contexts at the labelled gaps of all elements of kind text that have sentences, once per key: those that
+    stand in `cut`, as no other is asked for."""
+    done = elements.filter((F.col("kind") == "text") & (F.size("sentences") > 1) & F.col("text").isNotNull()).select(*KEY, "text", "sentences")
+    asked = materialize(cut.select("gaps").mapInPandas(_left_names, "level string, name string").distinct(), "p3-asked")
+    counted = rows_once(done, KEY).select("text", "sentences").mapInPandas(_taught, _GRAM).join(small(asked), ["level", "name"], "left_semi")
+    return materialize(counted.groupBy("level", "name").agg(*[F.sum(c).alias(c) for c in ("b", "n", "k")]), "p3-labelled")
+
+
 def train(elements: DataFrame, cut: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame | None]:
-    """The model of all texts in `cut` and of about LABELLED elements that have sentences, and the table of the n-grams
-    that it doesn't hold, if there are any."""
-    done = elements.filter((F.col("kind") == "text") & (F.size("sentences") > 1)).select(*KEY, "text", "sentences")
-    n = done.count()
-    sample = done.filter(F.pmod(F.xxhash64(*KEY), F.lit(1 << 32)) < F.lit(int((1 << 32) * min(1.0, LABELLED / max(n, 1)))))
-    rows = materialize(cut.withColumn("sentences", F.lit(None).cast("array<string>")).unionByName(sample), "p3-training")
-    ends, _, rest, rate = _counts(rows, None, None)
+    """The model of all texts in `cut` and of all elements that have sentences, and the table of the n-grams that it doesn't
+    hold, if there are any. `cut` has texts, or their gaps if they are known."""
+    cut = cut if "gaps" in cut.columns else _with_gaps(cut)
+    taught = labelled_counts(elements, cut)
+    ends, _, rest, rate = _counts(cut, None, None, None)
     model = Model(ends, rate)
     odds: dict[str, float] = {}
     for _ in range(rounds):
-        ends, counts, rest, rate = _counts(rows, model, rest)
+        ends, counts, rest, rate = _counts(cut, taught, model, rest)
         fresh = Model(ends, rate, counts)
         # an n-gram's share of sentence ends is known from the ends of texts; if the posteriors say less, because
         # what follows it is usual inside sentences after other n-grams, its odds are raised
@@ -577,8 +621,8 @@ def _cut(model: Model):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for d, p, i, text, rare in zip(f.doc_id, f.page, f.idx, f.text, _rare(f)):
-                found = gaps(text)
+            for d, p, i, packed, rare in zip(f.doc_id, f.page, f.idx, f.gaps, _rare(f)):
+                found = marshal.loads(packed)
                 ends = [g[0] for g, q in zip(found, _posteriors(model, found, rare)) if q > 0.5]
                 rows += [(d, p, i, e) for e in sorted(set(ends))]
             yield pd.DataFrame(rows, columns=["doc_id", "page", "idx", "sent_end"])
@@ -592,7 +636,7 @@ def sentence_ends(elements: DataFrame) -> DataFrame:
 
     Blank and null texts, and rows without a whole key, give no row; a text without any sign of an end is one unit; elements of other kinds, and those
     that have sentences, are left as they are. With no text at all the result is empty."""
-    cut = materialize(to_cut(elements), "p3-cut")
+    cut = _with_gaps(to_cut(elements))
     model, rest = train(elements, cut)
     return _spread(_with_rare(cut, model, rest)).mapInPandas(_cut(model), "doc_id bigint, page int, idx int, sent_end int")
 

@@ -131,6 +131,15 @@ def test_certain_places(spark, make_elements):
     assert segment.sentence_ends(make_elements()).count() == 0
 
 
+def test_all_labelled_elements_count(spark, make_elements):
+    """Every element that has sentences teaches, however many there are, and once per key."""
+    text, n = "Orm met Dr. Low. He left.", 21_000
+    some = spark.range(n).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit(1).alias("page"), F.col("id").cast("int").alias("idx"), F.lit("text").alias("kind"), F.lit(text).alias("text"), F.array(F.lit("Orm met Dr. Low."), F.lit("He left.")).alias("sentences"))
+    e = make_elements({"doc_id": 1, "text": text + " Dr. Orm"}).unionByName(some.unionByName(some.limit(5)), allowMissingColumns=True)
+    m, _ = segment.train(e, segment.to_cut(e), 1)
+    assert m.c["U", "dr."][1] == n + 2 and m.c["U", "low."][0] == pytest.approx(n + 1, abs=1)
+
+
 def test_gaps_inside_quotes():
     kinds = [g[1] for g in segment.gaps("He said: “It is late. We go.” Then he left. End")]
     assert kinds.count(-1) == 1
